@@ -8,22 +8,24 @@ left edge, each with the rank of the merge that consumed it. Two arcs may follow
 merge joins an arc of the first chain to one of the second while both exist. Where the merge's own path
 is already forbidden, its gadget adds no arc.
 
-Words are read by table-driven transitions. A state of the reading table stands for a prefix; it stores
-the one arc that ends the prefix's tokenization, where that arc starts and how many arcs there are, so
-the table also holds the exact token count at every prefix. The table is filled on first use and
-emptied when it reaches a fixed size.
+Words are read by table-driven transitions. A state of the reading table is named by the prefix it has
+read; it stores the one arc that ends the prefix's tokenization, where that arc starts and how many arcs
+there are, so the table also holds the exact token count at every prefix. The table is filled on first
+use (a word goes on from its longest prefix that is known) and emptied when it reaches a fixed size.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: Bounds of the tables in a Python worker; a full table is emptied, which costs time, not exactness.
-MAX_STATES, MAX_PAIRS, MAX_WORDS, LONG_WORD = 400_000, 600_000, 250_000, 48
+MAX_STATES, MAX_PAIRS, MAX_WORDS, LONG_WORD = 500_000, 400_000, 400_000, 48
 
 
 def byte_alphabet() -> list[str]:
@@ -58,9 +60,15 @@ class MergeAutomaton:
                 self.right[w] = [(w, never), (b, r), *self.right[b][1:]]
                 self.left[w] = [(w, never), (a, r), *self.left[a][1:]]
             self.pair.setdefault(a << 32 | b, r)
-        self.longest = max((len(t.removesuffix(end) if end else t) for t in self.arcs), default=1)
+        #: The longest arc that ends in the same two symbols: no longer one need be looked up.
+        self.reach: dict[str, int] = {}
+        for t in self.arcs:
+            body = t.removesuffix(end) if end else t
+            tail = t[max(0, len(body) - 2) :]
+            self.reach[tail] = max(self.reach.get(tail, 0), len(body))
         self.follow: dict[int, bool] = {}
-        self._reset()
+        #: prefix -> its last arc << 64 | where it starts << 32 | number of arcs
+        self.state: dict[str, int] = {"": 0}
 
     def _open(self, x: int, y: int) -> bool:
         """Whether arc y may follow arc x under the merges compiled so far."""
@@ -80,60 +88,71 @@ class MergeAutomaton:
             found = self.follow[key] = self._open(x, y)
         return found
 
-    def _reset(self) -> None:
-        self.delta: dict[int, int] = {}
-        self.last, self.start, self.count = [-1], [0], [0]
-
-    def _arc(self, word: str, i: int, path: list[int], tail: str) -> tuple[int, int]:
-        """The arc that ends the tokenization of word[:i], and where it starts."""
-        arcs, last = self.arcs, self.last
-        for j in range(max(0, i - self.longest), i):
-            t = arcs.get(word[j:i] + tail)
-            if t is not None and (j == 0 or self._follows(last[path[j]], t)):
+    def _arc(self, word: str, state: dict[str, int], tail: str) -> tuple[int, int]:
+        """The arc that ends the tokenization of ``word``, and where it starts; its prefixes are known."""
+        arcs, n = self.arcs, len(word)
+        for j in range(max(0, n - self.reach.get(word[-2:] + tail, 1)), n):
+            t = arcs.get(word[j:] + tail)
+            if t is not None and (j == 0 or self._follows(state[word[:j]] >> 64, t)):
                 return t, j
-        raise KeyError(f"no token for {word[i - 1]!r}")
-
-    def _walk(self, word: str) -> list[int]:
-        """The states along ``word``."""
-        if len(self.last) > MAX_STATES:
-            self._reset()
-        delta, state, path = self.delta, 0, [0]
-        keep = len(word) <= LONG_WORD
-        for i, ch in enumerate(word, 1):
-            key = state << 11 | ord(ch)
-            after = delta.get(key) if keep else None
-            if after is None:
-                t, j = self._arc(word, i, path, "")
-                after = len(self.last)
-                self.last.append(t)
-                self.start.append(j)
-                self.count.append(self.count[path[j]] + 1)
-                if keep:
-                    delta[key] = after
-            path.append(after)
-            state = after
-        return path
+        raise KeyError(f"no token for {word[-1:]!r}")
+
+    def _read(self, word: str) -> dict[str, int]:
+        """The table, with every prefix of ``word`` in it."""
+        state = self.state
+        n = len(word)
+        if n > LONG_WORD:  # a table of its own, so that odd texts don't fill the shared one
+            state = {"": 0}
+        elif len(state) > MAX_STATES:
+            state = self.state = {"": 0}
+        i = n
+        while word[:i] not in state:
+            i -= 1
+        for i in range(i + 1, n + 1):
+            part = word[:i]
+            t, j = self._arc(part, state, "")
+            state[part] = t << 64 | j << 32 | (state[part[:j]] & 0xFFFFFFFF) + 1
+        return state
 
     def encode(self, word: str) -> list[int]:
         """Token ids of one pre-split word, written in the byte alphabet."""
         if not word:
             return []
         if self.end:
-            path = self._walk(word[:-1])
-            t, i = self._arc(word, len(word), path, self.end)
+            state = self._read(word[:-1])
+            t, i = self._arc(word, state, self.end)
             out = [t]
         else:
-            path, i, out = self._walk(word), len(word), []
+            state, i, out = self._read(word), len(word), []
         while i:
-            s = path[i]
-            out.append(self.last[s])
-            i = self.start[s]
+            s = state[word[:i]]
+            out.append(s >> 64)
+            i = s >> 32 & 0xFFFFFFFF
         return out[::-1]
 
     def prefix_counts(self, word: str) -> list[int]:
         """Exact token count of every prefix of ``word``, from the empty one on (no word-end symbol)."""
-        path = self._walk(word)
-        return [self.count[s] for s in path]
+        state = self._read(word)
+        return [state[word[:i]] & 0xFFFFFFFF for i in range(len(word) + 1)]
+
+    def count(self, word: str) -> int:
+        """The last of the prefix counts; with a word-end symbol, the number of tokens."""
+        return len(self.encode(word)) if self.end else self._read(word)[word] & 0xFFFFFFFF
+
+
+class Memo(dict):
+    """Values of a function, up to ``MAX_WORDS`` of them for short words."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, word):
+        value = self.of(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = value
+        return value
 
 
 class Codec:
@@ -146,7 +165,8 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.end = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
+        names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.names = np.array([names.get(i, "") for i in range(max(names) + 1)], object)
         self.automaton = MergeAutomaton(model["vocab"], merges, self.end)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -158,7 +178,9 @@ class Codec:
         self.spaced = spec["decoder"] is None
         self.bytes = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(self.bytes)}
-        self.ids: dict[str, tuple] = {}
+        self.word_ids, self.word_count = Memo(self._word_ids), Memo(self._word_count)
+        #: What stands between blanks is encoded by itself; words of one text often repeat as a whole.
+        self.chunk_ids, self.chunk_count = Memo(self._chunk_ids), Memo(self._chunk_count)
 
     def normalize(self, text: str) -> str:
         if "NFC" in self.steps:
@@ -171,42 +193,44 @@ class Codec:
     def spell(self, word: str) -> str:
         return "".join(map(self.bytes.__getitem__, word.encode("utf-8")))
 
-    def word(self, word: str) -> tuple[bytes, str, int]:
-        """(ids as little-endian unsigned 32-bit integers, the tokens as decode() writes them, count)."""
-        found = self.ids.get(word)
-        if found is None:
-            if len(self.ids) >= MAX_WORDS:
-                self.ids.clear()
-            ids = self.automaton.encode(self.spell(word))
-            found = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(map(self.names.__getitem__, ids)), len(ids))
-            if len(word) <= LONG_WORD:
-                self.ids[word] = found
-        return found
+    def _word_ids(self, word: str) -> bytes:
+        return b"".join([i.to_bytes(4, "little") for i in self.automaton.encode(self.spell(word))])
+
+    def _word_count(self, word: str) -> int:
+        return self.automaton.count(self.spell(word))
+
+    def _chunk_ids(self, chunk: str) -> bytes:
+        return b"".join(map(self.word_ids.__getitem__, self.split.findall(chunk)))
 
-    def pieces(self, text: str):
-        """(special id or None, words) in order: special strings stand for themselves."""
+    def _chunk_count(self, chunk: str) -> int:
+        return sum(map(self.word_count.__getitem__, self.split.findall(chunk if self.end else " " + chunk)))
+
+    def parts(self, text: str):
+        """(special id or None, text between special strings) in order: special strings stand for themselves."""
         for part in self.cut.split(text) if self.cut and "<|" in text else [text]:
             if part in self.special:
-                yield self.special[part], ()
+                yield self.special[part], ""
             elif part:
-                yield None, self.split.findall(self.normalize(part))
+                yield None, self.normalize(part)
+
+    def words(self, part: str) -> list[str]:
+        return self.split.findall(part)
 
-    def encode(self, text: str) -> tuple[bytes, str, int]:
-        ids, names, n = [], [], 0
-        known = self.ids
-        for special, words in self.pieces(text):
+    def encode(self, text: str) -> bytes:
+        """Token ids of a whole text as little-endian unsigned 32-bit integers."""
+        out = []
+        for special, part in self.parts(text):
             if special is not None:
-                words, got = (), [(special.to_bytes(4, "little"), self.names[special], 1)]
+                out.append(special.to_bytes(4, "little"))
+            elif self.spaced and not _SEPARATORS(part):  # white space only parts words
+                out.append(b"".join(map(self.chunk_ids.__getitem__, part.split())))
             else:
-                got = [known.get(w) or self.word(w) for w in words]
-            ids += [g[0] for g in got]
-            names += [g[1] for g in got]
-            n += sum([g[2] for g in got])
-        return b"".join(ids), " ".join(names), n
+                out.append(b"".join(map(self.word_ids.__getitem__, self.words(part))))
+        return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: bytes) -> str:
         """The labels of the arcs ``ids``: joined by blanks, or as bytes where the format decodes bytes."""
-        labels = [self.names[i] for i in ids]
+        labels = self.names[np.frombuffer(ids, "<u4")].tolist()
         if self.spaced:
             return " ".join(labels)
         raw = b"".join(
@@ -215,20 +239,26 @@ class Codec:
         return raw.decode("utf-8", errors="replace")
 
     def count(self, text: str) -> int:
-        n, known = 0, self.ids
-        for special, words in self.pieces(text):
-            n += 1 if special is not None else sum([known[w] if w in known else self._counted(w) for w in words])
+        """Number of tokens of a whole text."""
+        n = 0
+        for special, part in self.parts(text):
+            if special is not None:
+                n += 1
+            elif self.spaced:
+                n += sum(map(self.word_count.__getitem__, self.words(part)))
+            elif _UNEVEN(part):
+                n += sum(map(self.word_count.__getitem__, self.words(part)))
+            else:  # every blank stands alone between two words and begins the second
+                first, *rest = part.split(" ")
+                n += sum(map(self.word_count.__getitem__, self.words(first)))
+                n += sum(map(self.chunk_count.__getitem__, rest))
         return n
 
-    def _counted(self, word: str) -> int:
-        """By the last of the prefix counts; kept in ``ids`` as a bare number, so one codec either counts or encodes."""
-        spelled = self.spell(word)
-        n = len(self.automaton.encode(spelled)) if self.end else self.automaton.prefix_counts(spelled)[-1]
-        if len(word) <= LONG_WORD:
-            if len(self.ids) >= MAX_WORDS:
-                self.ids.clear()
-            self.ids[word] = n
-        return n
+
+#: Characters that Python's split() takes for white space and the vocabularies' patterns do not.
+_SEPARATORS = re.compile("[\x1c-\x1f]").search
+#: White space other than single blanks and line ends, or a blank that doesn't stand between two words.
+_UNEVEN = re.compile(r"[^\S \n]|  | \n|\n |^ | $").search
 
 
 @lru_cache(maxsize=4)

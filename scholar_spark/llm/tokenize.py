@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +21,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
         own = codec(tokenizer, "encode")
 
         def each(row):
-            ids, labels, n = own.encode(row[text] or "")
-            yield row[key], n, ids, labels if own.spaced else own.decode(list(struct.unpack(f"<{n}I", ids)))
+            ids = own.encode(row[text] or "")
+            yield row[key], len(ids) // 4, ids, own.decode(ids)
 
         return each
 
@@ -70,11 +68,11 @@ def prefix_table(text: str, tokenizer: str) -> list[tuple[int, int]]:
     if own.end:
         raise ValueError("a vocabulary with word ends has no count inside a word")
     out, at, n = [(0, 0)], 0, 0
-    for special, words in own.pieces(text):
+    for special, part in own.parts(text):
         if special is not None:
-            at, n = at + len(own.names[special].encode("utf-8")), n + 1
+            at, n = at + len(str(own.names[special]).encode("utf-8")), n + 1
             out.append((at, n))
-        for w in words:
+        for w in own.words(part):
             counts = own.automaton.prefix_counts(own.spell(w))
             out += [(at + i, n + c) for i, c in enumerate(counts[1:], 1)]
             at, n = out[-1]
