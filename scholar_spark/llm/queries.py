@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .jaccard import link_documents
 from .licenses import license_query
+from .lines import dedup_lines
 from .quality import quality_query
 from .tokenize import count_tokens, encode_digests
 
@@ -22,6 +23,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_query(read_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
