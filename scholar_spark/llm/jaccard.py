@@ -9,10 +9,12 @@ equal digests meet in a shuffle. K depends on the size band: it doubles with the
 smallest possible partner falls into the next lower band also sends that band's blocks. Small sets have
 too little in a block to tell them apart, so two blocks at once make their keys (K > a/4 + 1).
 
-Meeting sets form groups, never all pairs: each member is verified against the group's smallest member;
-what is linked is joined into components; only pairs of one group that are still in different components
-are verified after that. A narrow parity sketch (about one bit a token) rejects most unequal pairs by its
-Hamming distance before any text moves; the rest are verified on the shingles of the whole texts.
+Meeting sets form groups, never all pairs: each member is verified against the group's smallest member
+and what is linked is joined into components. Groups that still hold several components get further
+rounds of stars around other members; after those, only pairs of different components are compared, and
+of these only those come out whose narrow parity sketches (1,024 bits in longs) are near enough. A wider
+sketch (about one bit a token) then rejects most unequal pairs before any text moves; the rest are
+verified on the shingles of the whole texts.
 
 With random hashing a pair is missed only if its differing tokens hit every non-empty block of the
 smaller set; that needs at least as many blocks as differing tokens, of which there are more than a/4
@@ -22,11 +24,12 @@ except where blocks happen to stay empty: under 1e-9 for a pair at the threshold
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, arrow_map, connected_components
@@ -38,6 +41,8 @@ NUM, DEN = 80, 100
 PAIRED, TINY = 60, 16
 #: Longest group that is gathered to be told by its content; longer ones are passed on as they stream by.
 GROUP = 65_536
+#: Longs of the narrow sketch, and rounds after the first: stars, the last one pairs across components.
+FOLD, ROUNDS = 16, 4
 #: Members verified in one task against one smallest member.
 STAR = 256
 #: Ids that may be sent to all executors to pick out texts (8 bytes each); beyond it a shuffle join does so.
@@ -114,12 +119,18 @@ def block_keys(tokens: np.ndarray) -> np.ndarray:
 
 
 def parity_sketch(tokens: np.ndarray) -> bytes:
-    """Parity bits, about one a token: 64 to 65,536 bits; sketches of unlike width fold onto one another."""
-    width = min(1 << 16, 1 << max(6, (len(tokens) - 1).bit_length()))
+    """Parity bits, about one a token: 1,024 to 65,536 bits; sketches of unlike width fold onto one another."""
+    width = min(1 << 16, 1 << max(10, (len(tokens) - 1).bit_length()))
     bits = np.bincount((_mix(tokens) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(sketch: bytes) -> list[int]:
+    """A sketch folded to the narrow width, as longs."""
+    x = np.frombuffer(sketch, np.uint8).reshape(-1, FOLD * 8)
+    return np.bitwise_xor.reduce(x, axis=0).view("<i8").tolist()
+
+
 def may_link(n: int, a: bytes, m: int, b: bytes) -> bool:
     """False only if sizes or sketches rule the link out."""
     low, high = min(n, m), max(n, m)
@@ -157,18 +168,19 @@ def sketch_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
         def each(row):
             tokens = shingle_set(row[text])
             if not len(tokens):
-                yield row[key], 0, None, None, None
+                yield row[key], 0, None, None, None, None
                 return
             own = fingerprint(tokens)
             if own in seen:
-                yield row[key], len(tokens), own, None, None
+                yield row[key], len(tokens), own, None, None, None
             else:
                 seen.add(own)
-                yield row[key], len(tokens), own, parity_sketch(tokens), block_keys(tokens).astype("<u8").tobytes()
+                sketch = parity_sketch(tokens)
+                yield row[key], len(tokens), own, sketch, folded(sketch), block_keys(tokens).astype("<u8").tobytes()
 
         return each
 
-    return arrow_map(docs.select(key, text), make, f"`{key}` bigint, n bigint, set bigint, sketch binary, keys binary")
+    return arrow_map(docs.select(key, text), make, f"`{key}` bigint, n bigint, set bigint, sketch binary, fold array<bigint>, keys binary")
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +301,26 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text
     return found.df
 
 
+def _across(mixed: DataFrame, turn: int | None) -> DataFrame:
+    """Pairs (a > b) of one group and different components that sizes and narrow sketches allow to link.
+
+    With a turn, one side is the group's least member in the turn's own order; else any two members.
+    """
+    side = F.struct("set", "root", "n", "fold")
+    if turn is None:
+        other = mixed.select("group", side.alias("y"))
+    else:
+        order = F.xxhash64("set", F.lit(turn)).alias("order")
+        other = mixed.groupBy("group").agg(F.min(F.struct(order, "set", "root", "n", "fold")).alias("y"))
+    both = mixed.select("group", side.alias("x")).join(other, "group")
+    apart = reduce(Column.__add__, [F.bit_count(F.col("x.fold")[i].bitwiseXOR(F.col("y.fold")[i])) for i in range(FOLD)])
+    near = (F.col("x.root") != F.col("y.root")) & F.expr(f"{DEN} * least(x.n, y.n) >= {NUM} * greatest(x.n, y.n)")
+    near = near & (apart * (DEN + NUM) <= (F.col("x.n") + F.col("y.n")) * (DEN - NUM))
+    if turn is None:
+        near = near & (F.col("x.set") > F.col("y.set"))
+    return both.where(near).select(F.greatest("x.set", "y.set").alias("a"), F.least("x.set", "y.set").alias("b"))
+
+
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of documents whose word shingle sets have a Jaccard similarity of 0.8 or more.
 
@@ -302,7 +334,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     drawn = Written(sketch_documents(base, key, text), "sketches")
     filled = drawn.df.where("set IS NOT NULL")
     sets = filled.groupBy("set").agg(
-        F.min(key).alias("holder"), F.first("n").alias("n"), F.max("sketch").alias("sketch")
+        F.min(key).alias("holder"), F.first("n").alias("n"), F.max("sketch").alias("sketch"), F.max("fold").alias("fold")
     )
     rows = filled.where("keys IS NOT NULL").select("set", "keys").mapInArrow(_key_rows, "key bigint, set bigint")
     groups = Written(
@@ -316,23 +348,26 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = _verified(base, sets.df, stars, key, text)
     roots = connected_components(first)
 
-    # groups of three or more that are not yet one component: their pairs across components
+    # groups of three or more that are not yet one component
     held = groups.df.where("many").select("group", "set").distinct()
-    held = held.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
-    held = held.select("group", "set", F.coalesce("root", "set").alias("root"))
-    mixed = held.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group")
-    mixed = held.join(mixed, "group", "left_semi").join(sets.df.select("set", "n"), "set")
-    left, right = mixed.toDF("a", "group", "ra", "na"), mixed.toDF("b", "group", "rb", "nb")
-    across = left.join(right, "group").where(
-        f"a > b AND ra <> rb AND {DEN} * least(na, nb) >= {NUM} * greatest(na, nb)"
-    )
-    across = across.select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    across = Written(across, "across")
-    if across.df.isEmpty():
-        whole = roots
-    else:
-        second = _verified(base, sets.df, across.df, key, text)
-        whole = connected_components(first.unionByName(second))
+    held = held.join(sets.df.select("set", "n", "fold"), "set")
+    tried, found = [stars.select("a", "b")], [first]
+    for turn in range(1, ROUNDS + 1):
+        mixed = held.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
+        mixed = mixed.withColumn("root", F.coalesce("root", "set"))
+        several = mixed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        held = Written(mixed.join(several.select("group"), "group", "left_semi"), "mixed")
+        mixed, held = held.df, held.df.drop("root")
+        if mixed.isEmpty():
+            break
+        pairs = _across(mixed, turn if turn < ROUNDS else None).distinct()
+        fresh = Written(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "across").df
+        if fresh.isEmpty():
+            continue
+        tried.append(fresh)
+        found.append(_verified(base, sets.df, fresh, key, text))
+        roots = connected_components(reduce(DataFrame.unionByName, found))
+    whole = roots
 
     named = filled.select(key, "n", "set").join(whole.select(F.col("node").alias("set"), "root"), "set", "left")
     named = named.select(key, "n", F.coalesce("root", "set").alias("root"))
