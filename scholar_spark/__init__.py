@@ -1 +1,3 @@
+"""Bibliometric analytics on Spark."""
 
+__version__ = "0.1.0"
