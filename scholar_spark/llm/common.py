@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Python workers hand over a batch once its values hold this many bytes, so that memory stays level
@@ -82,32 +82,65 @@ def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one executor task may join by union-find (16 bytes each), and that one window may hold.
+ONE_TASK, ONE_WINDOW = 500_000, 2_000_000
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: bool = False) -> DataFrame:
     """(node, root) for every node of ``edges`` (two long columns): root is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges stop changing (O(log^2 n) rounds).
-    Each step takes minima with map-side combine and joins them back, so a star centre with very many
-    neighbours is a skewed join that adaptive execution splits; nothing is collected but two numbers.
+    A counted, small number of edges is joined by union-find in one executor task (unless only DataFrame
+    operations may be used). Beyond it, large-star and small-star steps alternate until the edges stop
+    changing (O(log^2 n) rounds). Their minima are taken with map-side combine and joined back, so a star
+    centre with very many neighbours is a skewed join that adaptive execution splits; where the edges are
+    few, a window does the same with fewer shuffles. Nothing is collected but counts.
     """
     now = Written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    mark = None
+    found = now.df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    if not native and found[0] <= ONE_TASK:
+        return Written(now.df.coalesce(1).mapInArrow(_union_find, "node bigint, root bigint"), "roots").df
     while True:
-        found = now.df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if found[0] == 0 or found == mark:
-            return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        mark = found
+        few = found[0] <= ONE_WINDOW
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        )
+        large = _least(both, few, F.least(F.col("u"), F.col("m"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = _least(large.where("u <> v"), few, F.col("m")).select(F.explode(pairs).alias("e"))
         after = Written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         now.drop()
-        now = after
+        now, mark = after, found
+        found = now.df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if found == mark or not found[0]:
+            stars = now.df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return stars.unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _least(edges: DataFrame, few: bool, m: Column) -> DataFrame:
+    """Adds m: from the least v of each u."""
+    if few:
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u"))).withColumn("m", m)
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", m)
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x):
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+    nodes = list(root)
+    for i in range(0, len(nodes), 65_536):
+        part = nodes[i : i + 65_536]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["node", "root"])

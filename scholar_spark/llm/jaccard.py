@@ -42,7 +42,7 @@ PAIRED, TINY = 60, 16
 #: Longest group that is gathered to be told by its content; longer ones are passed on as they stream by.
 GROUP = 65_536
 #: Longs of the narrow sketch, and rounds after the first: stars, the last one pairs across components.
-FOLD, ROUNDS = 16, 4
+FOLD, ROUNDS = 16, 2
 #: Members verified in one task against one smallest member.
 STAR = 256
 #: Ids that may be sent to all executors to pick out texts (8 bytes each); beyond it a shuffle join does so.

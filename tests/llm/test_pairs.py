@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
-from scholar_spark.llm import jaccard, lines
+from scholar_spark.llm import common, jaccard, lines
 from scholar_spark.llm.common import connected_components
 
 
@@ -104,11 +104,13 @@ def test_every_linked_pair_shares_a_key():
             assert jaccard.may_link(len(a), jaccard.parity_sketch(a), len(b), jaccard.parity_sketch(b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("native, window", [(False, 0), (True, 10**6), (True, 0)])
+def test_components(spark, monkeypatch, native, window):
+    monkeypatch.setattr(common, "ONE_WINDOW", window)
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
     want = components(500, links)
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint"), native=native).collect()}
     touched = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: want[x] for x in touched}
 
