@@ -68,29 +68,28 @@ def fuse(articles: DataFrame) -> DataFrame:
     order = F.struct((-F.coalesce(F.col("`Cited by`"), F.lit(float("-inf")))).alias("c"), F.col("row_id").alias("r"))
     names = [c for c in articles.columns if c not in ("row_id", "key", *OWN_RULES)]
     keyed = (articles if "key" in articles.columns else with_keys(articles)).withColumn("_order", order)
-    picks = []
-    for i, c in enumerate(names):
-        value = _filled(c, kinds[c])
-        picks.append(F.min(F.when(value.isNotNull(), F.struct("_order", value.alias("v")))).alias(f"v{i}"))
-        picks.append(F.min(F.struct("_order", value.isNull().alias("gap"), F.col(f"`{c}`").alias("v"))).alias(f"p{i}"))
+    filled = {c: _filled(c, kinds[c]) for c in names}
+    primary = [x for i, c in enumerate(names) for x in (F.col(f"`{c}`").alias(f"p{i}"), filled[c].isNull().alias(f"gap{i}"))]
     if "Primary Database" in kinds:
-        picks.append(F.min(F.struct("_order", F.col("`Primary Database`").alias("v"))).alias("_db"))
+        primary.append(F.col("`Primary Database`").alias("db"))
+    picks = [F.min(F.struct("_order", *primary)).alias("_p")]
+    picks += [F.min(F.when(filled[c].isNotNull(), F.struct("_order", filled[c].alias("v")))).alias(f"v{i}") for i, c in enumerate(names)]
     for c in ("Databases", "Source Files"):
         if c in kinds:
             picks.append(F.array_sort(F.collect_list(F.struct("row_id", F.col(f"`{c}`").alias("v")))).alias(f"_{c[0]}"))
-    one = keyed.groupBy("key").agg(F.count("*").alias("group_size"), F.min("_order").alias("_first"), *picks)
-    out = [F.col("_first.r").alias("row_id"), F.col("key"), F.col("group_size")]
+    one = keyed.groupBy("key").agg(F.count("*").alias("group_size"), *picks)
+    out = [F.col("_p._order.r").alias("row_id"), F.col("key"), F.col("group_size")]
     for i, c in enumerate(names):
-        out.append(F.coalesce(F.col(f"v{i}.v"), F.col(f"p{i}.v")).alias(c))
-    gaps = [F.when(F.col(f"p{i}.gap") & F.col(f"v{i}").isNotNull(), 1).otherwise(0) for i in range(len(names))]
+        out.append(F.coalesce(F.col(f"v{i}.v"), F.col(f"_p.p{i}")).alias(c))
+    gaps = [F.when(F.col(f"_p.gap{i}") & F.col(f"v{i}").isNotNull(), 1).otherwise(0) for i in range(len(names))]
     flat = lambda c: F.flatten(F.transform(F.col(c), lambda s: F.coalesce(s["v"], F.array().cast("array<string>"))))
     if "Primary Database" in kinds:
-        out.append(F.col("_db.v").alias("Primary Database"))
+        out.append(F.col("_p.db").alias("Primary Database"))
     if "Databases" in kinds:
         out.append(known_databases(flat("_D")).alias("Databases"))
     if "Source Files" in kinds:
         out.append(distinct_files(flat("_S")).alias("Source Files"))
-    out += [F.col("_first").alias("fused_rank"), reduce(Column.__add__, gaps, F.lit(0)).alias("n_filled")]
+    out += [F.col("_p._order").alias("fused_rank"), reduce(Column.__add__, gaps, F.lit(0)).alias("n_filled")]
     out.append(F.array_compact(F.array(*[F.when(g == 1, F.lit(c)) for g, c in zip(gaps, names)])).alias("filled"))
     return one.select(*out)
 
