@@ -40,7 +40,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return dedup_lines(read_table(spark, sf_dir, "documents"), by="words").select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

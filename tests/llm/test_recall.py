@@ -1,0 +1,39 @@
+"""Fuzzy lines against all pairs by edit similarity alone."""
+
+import random
+from itertools import combinations
+
+from scholar_spark.llm import lines
+
+from test_pairs import edit_distance
+
+
+def test_line_links_reach_the_edit_similarity(spark):
+    """Lines of 5 to 40 words with one to several changed letters: nearly all pairs of 0.8 or more link."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    often = [word() for _ in range(12)]
+    texts = []
+    for i in range(240):
+        base = [rng.choice(often) if rng.random() < 0.4 else word() for _ in range(rng.choice((6, 8, 12, 20, 40)))]
+        own = list(base)
+        for _ in range(rng.randrange(1, 2 + len(base) // 6)):
+            k = rng.randrange(len(own))
+            own[k] = own[k][:-1] + "z"
+        texts += [" ".join(base), " ".join(own)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    norm = {r["norm"]: r["line"] for r in lines.occurrences(docs).select("norm", "line").distinct().collect()}
+    long_ones = [t for t in norm if len(set(t.split())) >= 5]
+    close = lambda a, b: abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+    same = [(a, b) for a, b in zip(texts[::2], texts[1::2]) if a != b and a in long_ones and b in long_ones and close(a, b)]
+    assert len(same) > 150
+    roots = {}
+    for by, table in (("sim", lines.simhashes), ("words", lines.sampled_words)):
+        got = lines.linked_lines(docs, table(docs), by=by).collect()
+        roots[by] = {r["line"]: r["root"] for r in got}
+    met = {by: sum(norm[a] in r and r.get(norm[a]) == r.get(norm[b]) for a, b in same) for by, r in roots.items()}
+    assert met["sim"] < 0.5 * len(same)
+    assert met["words"] >= 0.97 * len(same)
+    of = {v: k for k, v in norm.items()}
+    together = [(a, b) for a, b in combinations(sorted(roots["words"]), 2) if roots["words"][a] == roots["words"][b]]
+    assert all(close(of[a], of[b]) for a, b in together)
