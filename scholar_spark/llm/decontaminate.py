@@ -4,7 +4,9 @@ Texts become templates: numbers, names and units give way to typed placeholders,
 and bared of punctuation. Windows of template tokens are joined by hash against the benchmark's windows.
 Windows of one item that lie on one diagonal of a text are merged, and the values that fill the same
 slots are compared: a re-parameterised question must change the same value to the same value everywhere,
-and different values of one kind to different values.
+and different values of one kind to different values. Slots that break this reject the diagonal
+(``strict``), or leave the cover, and what is left must still be long enough; the query and the pipeline
+do the latter, so that one changed value in a near-verbatim copy does not hide it.
 
 The benchmark is sent to the executors in blocks of bounded size; each block is held against all texts
 in one pass without a shuffle of the texts.
@@ -37,6 +39,7 @@ UNITS = set(
     kcal cal pa kpa mph kmh kph people times""".split()
 )
 NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:%|[a-z]{1,3})?")
+MARKS = "\"'()[]{}<>*,;.!?:“”‘’«»"
 BARE = re.compile(r"[\W_]+")
 ENDS = re.compile(r"[.!?:][\"')\]]*$").search
 WORD, NUM, OTHER = 0, 1, 2
@@ -69,7 +72,7 @@ class Chunks(dict):
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         i = self[chunk] = self.n
         self.n += 1
-        plain = chunk.strip("\"'()[]{}<>*,;.!?:“”‘’«»").lower()
+        plain = chunk.strip(MARKS).lower()
         bare = BARE.sub("", plain)
         self.ends[i] = ENDS(chunk) is not None
         if NUMBER.fullmatch(plain):
@@ -118,7 +121,24 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 def _value(chunk: str) -> str:
-    return chunk.strip("\"'()[]{}<>*,;.!?:").lower()
+    return chunk.strip(MARKS).lower()
+
+
+def _run(cover: np.ndarray) -> int:
+    edges = np.flatnonzero(np.diff(np.r_[0, cover.astype(np.int8), 0]))
+    return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
+
+
+def _one_to_one(pairs: list[tuple]) -> set[tuple]:
+    """Of pairs of values those of a one-to-one mapping: the most frequent first, unchanged values before others."""
+    count: dict[tuple, int] = defaultdict(int)
+    for pair in pairs:
+        count[pair] += 1
+    there, back = {}, {}
+    for mine, other in sorted(count, key=lambda p: (-count[p], p[0] != p[1])):
+        if mine not in there and other not in back:
+            there[mine], back[other] = other, mine
+    return set(there.items())
 
 
 class Index:
@@ -144,8 +164,8 @@ class Index:
             seen[(h & np.uint64(0xFFFF)).astype(np.int64)] = True
             self.by[n] = (h, i, p, seen)
 
-    def hits(self, text: str, chunks: Chunks, share: float, run: int):
-        """(item, tokens covered, tokens of the item, slots, changed slots, longest run) for each consistent diagonal."""
+    def hits(self, text: str, chunks: Chunks, share: float, run: int, strict: bool = True):
+        """(item, tokens covered, tokens of the item, slots, changed slots, longest run) for each diagonal that holds the item."""
         tokens, slot, at, own = template(text, chunks)
         found = defaultdict(lambda: defaultdict(list))
         for n, (known, item, place, seen) in self.by.items():
@@ -161,25 +181,28 @@ class Index:
                 cover = np.zeros(size, bool)
                 for p, n in windows:
                     cover[p : p + n] = True
-                edges = np.flatnonzero(np.diff(np.r_[0, cover.astype(np.int8), 0]))
-                longest = int((edges[1::2] - edges[::2]).max())
+                if cover.sum() < share * size and _run(cover) < run:
+                    continue
+                pairs = {k: ((slots[k], values[k]), (slots[k], _value(own[at[k + shift]]))) for k in np.flatnonzero(cover & (slots > 0)).tolist()}
+                good = _one_to_one(list(pairs.values()))
+                wrong = [k for k, pair in pairs.items() if pair not in good]
+                if wrong and strict:
+                    continue
+                cover[wrong] = False
+                longest = _run(cover)
                 if cover.sum() < share * size and longest < run:
                     continue
-                there, back, changed, n_slots, agree = {}, {}, 0, 0, True
-                for k in np.flatnonzero(cover & (slots > 0)).tolist():
-                    mine, other = (slots[k], values[k]), (slots[k], _value(own[at[k + shift]]))
-                    n_slots += 1
-                    changed += mine != other
-                    agree &= there.setdefault(mine, other) == other and back.setdefault(other, mine) == mine
-                if agree:
-                    yield name, int(cover.sum()), size, n_slots, changed, longest
+                changed = sum(mine != other for k, (mine, other) in pairs.items() if cover[k])
+                yield name, int(cover.sum()), size, len(pairs) - len(wrong), changed, longest
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN, key: str = "doc_id"
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN, key: str = "doc_id", strict: bool = True
 ) -> DataFrame:
     """One row for each document and benchmark item whose template it holds with consistent slots.
 
+    Slots that are not consistent reject the place (``strict``) or do not count as covered.
+
     Columns: key, item_id, n_covered and n_item (template tokens), n_slots, n_changed (slots filled with
     another value: a re-parameterised question), longest_run. The best diagonal of a pair counts (most
     tokens, then fewest changed slots). A hit covers at least ``share`` of the item, or ``run`` tokens in
@@ -199,7 +222,7 @@ def find_leaks(
 
         def make(sent=sent):
             index, chunks = Index(sent.value, window), Chunks()
-            return lambda row: ((row[key], *hit) for hit in index.hits(row["text"] or "", chunks, share, run))
+            return lambda row: ((row[key], *hit) for hit in index.hits(row["text"] or "", chunks, share, run, strict))
 
         found = arrow_map(docs.select(key, "text"), make, schema)
         out = found if out is None else out.unionByName(found)
@@ -208,7 +231,7 @@ def find_leaks(
     return out.select(key, "item_id", *[f"best.{c}" for c in ("n_covered", "n_item", "n_slots", "n_changed", "longest_run")])
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, strict: bool = True) -> DataFrame:
     """The rows of ``docs`` whose doc_id holds no benchmark item; null keys are judged together."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
+    leaks = find_leaks(docs, benchmark, strict=strict).select(F.col("doc_id").alias("leaked")).distinct()
     return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
