@@ -17,8 +17,8 @@ sketch (about one bit a token) then rejects most unequal pairs before any text m
 verified on the shingles of the whole texts.
 
 With random hashing a pair is missed only if its differing tokens hit every non-empty block of the
-smaller set; that needs at least as many blocks as differing tokens, of which there are more than a/4
-except where blocks happen to stay empty: under 1e-9 for a pair at the threshold.
+smaller set. There are more than a/4 blocks, and in the small bands as many more as keep the blocks
+that stay untouched from being all empty: under 1e-9 for a pair at the threshold (exact formula in the tests).
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ WORDS = 5
 NUM, DEN = 80, 100
 #: Sets below this size use keys of two blocks; below TINY every token is a block of its own.
 PAIRED, TINY = 60, 16
+#: Least size and blocks of the bands between; with fewer blocks the untouched ones may all be empty.
+LOW_BANDS = ((28, 20), (TINY, 16))
 #: Longest group that is gathered to be told by its content; longer ones are passed on as they stream by.
 GROUP = 65_536
 #: Longs of the narrow sketch, and rounds after the first: stars, the last one pairs across components.
@@ -83,11 +85,12 @@ def most_apart(size: int) -> int:
 
 
 def band(size: int) -> int:
-    """0: tokens as blocks; else the power of two that is the number of blocks."""
+    """0: tokens as blocks; else the number of blocks, a power of two from ``PAIRED`` on."""
     if size < TINY:
         return 0
-    d = most_apart(size) + (2 if size < PAIRED else 1)
-    return 1 << (d - 1).bit_length()
+    if size < PAIRED:
+        return next(k for least, k in LOW_BANDS if size >= least)
+    return 1 << most_apart(max(size, 64)).bit_length()
 
 
 def block_keys(tokens: np.ndarray) -> np.ndarray:
@@ -101,7 +104,7 @@ def block_keys(tokens: np.ndarray) -> np.ndarray:
         if k == 0:
             parts = tokens
         else:
-            block = (tokens >> np.uint64(64 - (k.bit_length() - 1))).astype(np.int64)
+            block = ((tokens >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             digests = np.bitwise_xor.reduceat(_mix(tokens), first)
             parts = np.zeros(k, np.uint64)
@@ -113,7 +116,7 @@ def block_keys(tokens: np.ndarray) -> np.ndarray:
             used = (parts[i] != 0) | (parts[j] != 0)
             where = (i * len(parts) + j).astype(np.uint64) if k else np.zeros(len(i), np.uint64)
             out.append(_mix(keys[used] + where[used] * _MIX + np.uint64(2 * k + 1)))
-        if k and (k > band(PAIRED - 1) or size >= PAIRED):
+        if k > band(PAIRED - 1):
             out.append(_mix(parts[parts != 0] + np.uint64(2 * k)))
     return np.unique(np.concatenate(out))
 

@@ -1,6 +1,25 @@
 """Cases that earlier versions of the operators cut."""
 
-from scholar_spark.llm import decontaminate, queries
+from math import comb
+
+from scholar_spark.llm import decontaminate, jaccard, queries
+
+
+def missed(common, apart, blocks, paired):
+    """Chance that the blocks which differing tokens leave untouched are too few or hold no common token."""
+    at = [1.0] + [0.0] * apart  # chance that so many blocks are touched
+    for _ in range(apart):
+        at = [(at[t] * t + (at[t - 1] * (blocks - t + 1) if t else 0)) / blocks for t in range(apart + 1)]
+    return sum(p * (1 if blocks - t < 1 + paired else (t / blocks) ** common) for t, p in enumerate(at))
+
+
+def test_missed_links_stay_below_the_bound():
+    for n in range(jaccard.TINY, 260):
+        for lost in range(n // 5 + 1):
+            for more in range(lost, n // 3 + 1):
+                if jaccard.DEN * (n - lost) >= jaccard.NUM * (n + more):
+                    assert missed(n - lost, lost + more, jaccard.band(n), n < jaccard.PAIRED) < 1e-9, (n, lost, more)
+    assert missed(24, 6, 8, True) > 1e-5 and comb(20, 2) == 190
 
 
 ITEM = "If Anna sells 12 apples for 3 dollars each and then Anna buys 12 more at the same price how much is left"
