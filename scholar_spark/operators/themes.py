@@ -121,9 +121,9 @@ def with_topics(model, rows: DataFrame) -> DataFrame:
 def umass_coherence(topic_terms: DataFrame, doc_terms: DataFrame) -> DataFrame:
     """coherence: mean over topics and pairs of their terms (later, earlier) of ln((D(both) + 1) / max(1, D(earlier))).
 
-    topic_terms: topic, rank, term (a few terms a topic); doc_terms: distinct id, term.
+    topic_terms: topic, rank, term; doc_terms: distinct id, term.
     """
-    terms = F.broadcast(topic_terms.select("term").distinct().limit(100_000))
+    terms = topic_terms.select("term").distinct()
     held = doc_terms.join(terms, "term", "left_semi")
     single = held.groupBy("term").agg(F.count("*").alias("d"))
     sets = held.groupBy("id").agg(F.array_sort(F.collect_set("term")).alias("a"))
