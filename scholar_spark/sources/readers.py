@@ -82,7 +82,7 @@ def read_tagged(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\nER").text(path).select(F.col("_metadata.file_name").alias(S.SOURCE_FILE), F.monotonically_increasing_id().alias("_record"), "value")
     each = lines.select(S.SOURCE_FILE, "_record", F.posexplode(F.split("value", r"\r?\n")).alias("i", "line"))
     tag = F.when(F.col("line").rlike("^﻿?[A-Z][A-Z0-9] "), F.substring(F.regexp_replace("line", "^﻿", ""), 1, 2))
-    said = F.when(tag.isNotNull(), F.substring(F.regexp_replace("line", "^﻿", ""), 4, 1_000_000)).when(F.col("line").startswith("   "), F.substring("line", 4, 1_000_000))
+    said = F.when(tag.isNotNull(), F.expr("substring(regexp_replace(line, '^\ufeff', ''), 4)")).when(F.col("line").startswith("   "), F.expr("substring(line, 4)"))
     w = Window.partitionBy(S.SOURCE_FILE, "_record").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     each = each.select(S.SOURCE_FILE, "_record", "i", tag.alias("new"), X.strip(said).alias("said")).withColumn("tag", F.last("new", ignorenulls=True).over(w))
     each = each.where("said IS NOT NULL AND tag IS NOT NULL AND tag NOT IN ('FN', 'VR', 'EF', 'ER')")
