@@ -156,7 +156,7 @@ def run_topics(stage: Stage, config: dict, k: int | None = None) -> Stage:
 
 
 def run_workflow(exports: list[readers.Export], config: dict | None = None, aliases: dict | None = None) -> tuple[dict[str, Stage], Manifest]:
-    """All stages; an optional one that cannot run is listed as skipped."""
+    """All stages but the topics (see ``run_topics``); an optional one that cannot run is listed as skipped."""
     config = resolve_config(config)
     if config["as_of_year"] is None:
         raise ValueError("as_of_year must be given: no operator reads the clock")
