@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python workers hand over a batch once its values hold this many bytes, so that memory stays level
@@ -21,15 +21,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    """The folder all executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (tests) gets one in the warehouse folder; a cluster gets an error,
+    as no folder of one machine would do.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="scholar_spark_")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     return found
 
 
+def free_name(name: str, names: list[str]) -> str:
+    """``name``, with underscores before it until it is none of ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Rows of a few longs that may be sent to every executor; beyond it a shuffle join does the same.
+SENT_ROWS = 1_500_000
+
+
+def sent(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for sending to all executors if it has at most SENT_ROWS rows (``rows``, where known)."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= SENT_ROWS else df
+
+
 class Written:
     """A table written once to the shared folder: it cuts lineage and outlives lost executors."""
 
@@ -82,8 +103,8 @@ def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
-#: Edges that one executor task may join by union-find (16 bytes each), and that one window may hold.
-ONE_TASK, ONE_WINDOW = 500_000, 2_000_000
+#: Edges that one executor task may join by union-find (16 bytes each).
+ONE_TASK = 500_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: bool = False) -> DataFrame:
@@ -92,8 +113,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: b
     A counted, small number of edges is joined by union-find in one executor task (unless only DataFrame
     operations may be used). Beyond it, large-star and small-star steps alternate until the edges stop
     changing (O(log^2 n) rounds). Their minima are taken with map-side combine and joined back, so a star
-    centre with very many neighbours is a skewed join that adaptive execution splits; where the edges are
-    few, a window does the same with fewer shuffles. Nothing is collected but counts.
+    centre with very many neighbours is a skewed join that adaptive execution splits. Nothing is collected
+    but counts.
     """
     now = Written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
@@ -102,13 +123,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: b
     if not native and found[0] <= ONE_TASK:
         return Written(now.df.coalesce(1).mapInArrow(_union_find, "node bigint, root bigint"), "roots").df
     while True:
-        few = found[0] <= ONE_WINDOW
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, few, F.least(F.col("u"), F.col("m"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _least(both, F.least(F.col("u"), F.col("m"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = Written(large.where("u <> v").distinct(), "edges")
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = _least(large.where("u <> v"), few, F.col("m")).select(F.explode(pairs).alias("e"))
+        small = _least(large.df, F.col("m")).select(F.explode(pairs).alias("e"))
         after = Written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         now.drop()
+        large.drop()
         now, mark = after, found
         found = now.df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if found == mark or not found[0]:
@@ -116,11 +138,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", native: b
             return stars.unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _least(edges: DataFrame, few: bool, m: Column) -> DataFrame:
+def _least(edges: DataFrame, m: Column) -> DataFrame:
     """Adds m: from the least v of each u."""
-    if few:
-        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u"))).withColumn("m", m)
-    return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", m)
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("least")), "u").withColumn("m", F.col("least")).withColumn("m", m).drop("least")
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
-from scholar_spark.llm import common, jaccard, lines
+from scholar_spark.llm import jaccard
 from scholar_spark.llm.common import connected_components
 
 
@@ -104,80 +104,11 @@ def test_every_linked_pair_shares_a_key():
             assert jaccard.may_link(len(a), jaccard.parity_sketch(a), len(b), jaccard.parity_sketch(b))
 
 
-@pytest.mark.parametrize("native, window", [(False, 0), (True, 10**6), (True, 0)])
-def test_components(spark, monkeypatch, native, window):
-    monkeypatch.setattr(common, "ONE_WINDOW", window)
+@pytest.mark.parametrize("native", [False, True])
+def test_components(spark, native):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
     want = components(500, links)
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint"), native=native).collect()}
     touched = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: want[x] for x in touched}
-
-
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def brute_lines(spark, rows):
-    """The texts that stay, from the operator's hashes and a plain search over all pairs of lines."""
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    places = sorted((r["doc_id"], r["pos"], r["line"], r["norm"]) for r in lines.occurrences(docs).collect())
-    stats = {r["line"]: (r["words"], r["sim"]) for r in lines.simhashes(docs).collect()}
-    norm = {p[2]: p[3] for p in places}
-    ids = sorted(norm)
-    links = []
-    for i, j in combinations(range(len(ids)), 2):
-        (n, s), (m, t) = stats[ids[i]], stats[ids[j]]
-        a, b = norm[ids[i]], norm[ids[j]]
-        if min(n, m) >= 5 and bin((s ^ t) & (2**64 - 1)).count("1") <= 3 and edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
-            links.append((i, j))
-    root = dict(zip(ids, components(len(ids), links)))
-    seen, gone = set(), set()
-    for doc, pos, line, _ in places:
-        if root[line] in seen:
-            gone.add((doc, pos))
-        seen.add(root[line])
-    kept = {d: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
-    return kept, len(links)
-
-
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(8)
-    pool = [" ".join(words(rng, n, 500)) for n in (1, 2, 4, 5, 6, 9, 14, 30, 60, 90)]
-    rows = []
-    for i in range(60):
-        own = []
-        for _ in range(4):
-            line = rng.choice(pool).split()
-            if rng.random() < 0.6:
-                line[rng.randrange(len(line))] += rng.choice(["", ".", "s", "!"])
-            own.append(rng.choice([" ".join(line), " ".join(line).upper(), "", "---", " ".join(words(rng, 8))]))
-        rows.append((i, "\n".join(own)))
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, pool[7])]
-    want, links = brute_lines(spark, rows)
-    assert links
-    docs = spark.createDataFrame([(d, t, 7, "z") for d, t in rows], "doc_id bigint, text string, n_chars bigint, row string")
-    got = lines.dedup_lines(docs.repartition(3)).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == want
-    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) and r["row"] == "z" for r in got)
-    assert sum(r["n_dropped"] for r in got) > 50
-
-
-def test_line_dedup_edge_rows(spark):
-    empty = spark.createDataFrame([], "doc_id bigint, text string")
-    assert lines.dedup_lines(empty).count() == 0
-    rows = [(1, "same line here of words"), (1, "same line here of words"), (None, "Same line, here of words!"), (2, "other")]
-    got = sorted(map(str, (tuple(r) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())))
-    assert got == sorted(map(str, [(1, "", 1, 1), (1, "", 1, 1), (None, rows[2][1], 1, 0), (2, "other", 1, 0)]))
-
-
-@pytest.mark.parametrize("n", [10, 10**8, 10**11, 10**13])
-def test_keys_widen_with_the_table(n):
-    b = lines.blocks_for(n)
-    assert 5 <= b <= 9 and 2 ** (64 * (b - 3) / b) >= min(n / 4, 2**42)
