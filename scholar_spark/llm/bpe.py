@@ -8,10 +8,12 @@ left edge, each with the rank of the merge that consumed it. Two arcs may follow
 merge joins an arc of the first chain to one of the second while both exist. Where the merge's own path
 is already forbidden, its gadget adds no arc.
 
-Words are read by table-driven transitions. A state of the reading table is named by the prefix it has
-read; it stores the one arc that ends the prefix's tokenization, where that arc starts and how many arcs
-there are, so the table also holds the exact token count at every prefix. The table is filled on first
-use (a word goes on from its longest prefix that is known) and emptied when it reaches a fixed size.
+Words are read by a transition table over (state, symbol). What may end the tokenization of a longer
+prefix depends only on the longest end of the text that some token begins with, and on the arcs that end
+at each place in it: that is a state. A state names the arc that ends the prefix's tokenization, so walking
+back by arc lengths gives the tokens, and walking on gives the exact token count at every prefix. States
+and transitions are made when they are first met and dropped when there are too many; reading a word of
+any length takes linear time and memory.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import numpy as np
 import regex
 
 #: Bounds of the tables in a Python worker; a full table is emptied, which costs time, not exactness.
-MAX_STATES, MAX_PAIRS, MAX_WORDS, LONG_WORD = 500_000, 400_000, 400_000, 48
+MAX_STATES, MAX_PAIRS, MAX_WORDS, LONG_WORD = 200_000, 400_000, 400_000, 48
+START = -1
 
 
 def byte_alphabet() -> list[str]:
@@ -60,15 +63,14 @@ class MergeAutomaton:
                 self.right[w] = [(w, never), (b, r), *self.right[b][1:]]
                 self.left[w] = [(w, never), (a, r), *self.left[a][1:]]
             self.pair.setdefault(a << 32 | b, r)
-        #: The longest arc that ends in the same two symbols: no longer one need be looked up.
-        self.reach: dict[str, int] = {}
+        #: What a token may begin with, without the word-end symbol: the texts of the states.
+        self.begins = {""}
         for t in self.arcs:
             body = t.removesuffix(end) if end else t
-            tail = t[max(0, len(body) - 2) :]
-            self.reach[tail] = max(self.reach.get(tail, 0), len(body))
+            self.begins.update(body[:i] for i in range(1, len(body) + 1))
+        self.size = {t: len(text.removesuffix(end) if end else text) for text, t in self.arcs.items()}
         self.follow: dict[int, bool] = {}
-        #: prefix -> its last arc << 64 | where it starts << 32 | number of arcs
-        self.state: dict[str, int] = {"": 0}
+        self._clear()
 
     def _open(self, x: int, y: int) -> bool:
         """Whether arc y may follow arc x under the merges compiled so far."""
@@ -88,56 +90,78 @@ class MergeAutomaton:
             found = self.follow[key] = self._open(x, y)
         return found
 
-    def _arc(self, word: str, state: dict[str, int], tail: str) -> tuple[int, int]:
-        """The arc that ends the tokenization of ``word``, and where it starts; its prefixes are known."""
-        arcs, n = self.arcs, len(word)
-        for j in range(max(0, n - self.reach.get(word[-2:] + tail, 1)), n):
-            t = arcs.get(word[j:] + tail)
-            if t is not None and (j == 0 or self._follows(state[word[:j]] >> 64, t)):
-                return t, j
-        raise KeyError(f"no token for {word[-1:]!r}")
-
-    def _read(self, word: str) -> dict[str, int]:
-        """The table, with every prefix of ``word`` in it."""
-        state = self.state
-        n = len(word)
-        if n > LONG_WORD:  # a table of its own, so that odd texts don't fill the shared one
-            state = {"": 0}
-        elif len(state) > MAX_STATES:
-            state = self.state = {"": 0}
-        i = n
-        while word[:i] not in state:
-            i -= 1
-        for i in range(i + 1, n + 1):
-            part = word[:i]
-            t, j = self._arc(part, state, "")
-            state[part] = t << 64 | j << 32 | (state[part[:j]] & 0xFFFFFFFF) + 1
-        return state
+    def _clear(self) -> None:
+        self.start = State(self, "", (START,), START, 0)
+        self.known: dict[tuple[str, tuple[int, ...]], State] = {}
+
+    def last_arc(self, text: str, before: tuple[int, ...]) -> int:
+        """The arc that ends the tokenization of ``text``, given the arcs that end before each of its symbols."""
+        for k, x in enumerate(before):
+            t = self.arcs.get(text[k:])
+            if t is not None and (x == START or self._follows(x, t)):
+                return t
+        raise KeyError(f"no token ends {text!r}")
+
+    def state(self, text: str, before: tuple[int, ...]) -> State:
+        """The state that the longest end of ``text`` with which a token may begin stands for."""
+        k = 0
+        while text[k:] not in self.begins:
+            k += 1
+        key = text[k:], before[k:]
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= MAX_STATES:  # a word that is being read goes on; its old states fall away
+                self._clear()
+            found = self.known[key] = State(self, *key, before[-1], self.size[before[-1]])
+        return found
 
     def encode(self, word: str) -> list[int]:
         """Token ids of one pre-split word, written in the byte alphabet."""
         if not word:
             return []
+        state = self.start
         if self.end:
-            state = self._read(word[:-1])
-            t, i = self._arc(word, state, self.end)
-            out = [t]
+            arcs = [(state := state[c]).arc for c in word[:-1]]
+            arcs.append(state[word[-1] + self.end])
         else:
-            state, i, out = self._read(word), len(word), []
+            arcs = [(state := state[c]).arc for c in word]
+        i, out, size = len(word), [], self.size
         while i:
-            s = state[word[:i]]
-            out.append(s >> 64)
-            i = s >> 32 & 0xFFFFFFFF
+            t = arcs[i - 1]
+            out.append(t)
+            i -= size[t]
         return out[::-1]
 
     def prefix_counts(self, word: str) -> list[int]:
         """Exact token count of every prefix of ``word``, from the empty one on (no word-end symbol)."""
-        state = self._read(word)
-        return [state[word[:i]] & 0xFFFFFFFF for i in range(len(word) + 1)]
+        counts, state = [0], self.start
+        for c in word:
+            state = state[c]
+            counts.append(counts[-state.size] + 1)
+        return counts
 
     def count(self, word: str) -> int:
         """The last of the prefix counts; with a word-end symbol, the number of tokens."""
-        return len(self.encode(word)) if self.end else self._read(word)[word] & 0xFFFFFFFF
+        return len(self.encode(word)) if self.end else self.prefix_counts(word)[-1]
+
+
+class State(dict):
+    """A row of the transition table: symbol -> next state; last symbol with the word-end symbol -> last arc.
+
+    ``text`` and ``before``: the longest end of the text read with which a token may begin, and the arcs
+    that end before each of its symbols and at its end (START where none does).
+    """
+
+    __slots__ = ("table", "text", "before", "arc", "size")
+
+    def __init__(self, table: MergeAutomaton, text: str, before: tuple[int, ...], arc: int, size: int):
+        self.table, self.text, self.before, self.arc, self.size = table, text, before, arc, size
+
+    def __missing__(self, symbol: str) -> State | int:
+        text = self.text + symbol
+        last = self.table.last_arc(text, self.before)
+        after = self[symbol] = self.table.state(text, (*self.before, last)) if len(symbol) == 1 else last
+        return after
 
 
 class Memo(dict):

@@ -1,11 +1,12 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
 import pytest
 from scholar_spark.llm.bpe import Codec
-from scholar_spark.llm.tokenize import add_token_counts, count_tokens, encode_digests, encode_documents, fit, prefix_table
+from scholar_spark.llm.tokenize import add_token_counts, count_tokens, encode_digests, encode_documents, fit_bytes, prefix_table
 from tokenizers import Tokenizer
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -54,7 +55,7 @@ def test_queries_equal_the_library(spark):
     for i, t, _ in rows:
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         want.append((i, len((t or "").encode()), n, n > 512))
-    assert sorted((tuple(r) for r in count_tokens(docs, BYTE).collect()), key=key) == sorted(want, key=key)
+    assert sorted((tuple(r)[:4] for r in count_tokens(docs, BYTE).collect()), key=key) == sorted(want, key=key)
 
 
 def test_empty_table(spark):
@@ -73,6 +74,34 @@ def test_prefix_counts_answer_budgets(spark):
             assert n == len(library.encode(word[:i], add_special_tokens=False).ids)
     assert table[-1] == (len(text), len(library.encode(text).ids))
     for budget in range(8):
-        assert fit(table, budget) == max(b for b, n in table if n <= budget)
-    row = add_token_counts(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), BYTE, (3,)).first()
-    assert row["n_tokens"] == table[-1][1] and row["fit_3"] == fit(table, 3)
+        assert fit_bytes(own, text, budget) == max(b for b, n in table if n <= budget)
+    docs = spark.createDataFrame([(1, text, "kept"), (2, None, "x")], "doc_id bigint, text string, fit_3 string")
+    first, empty = add_token_counts(docs, BYTE, (3,)).collect()
+    assert first["n_tokens"] == table[-1][1] and first["fit_3"] == "kept" and first["_fit_3"] == fit_bytes(own, text, 3)
+    assert empty["n_tokens"] == 0 and empty["_fit_3"] == 0
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_long_words_take_linear_memory(path):
+    """Unbroken words of 100,000 to a million symbols, in a few hundred MB."""
+    rng = random.Random(1)
+    made = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(60_000)), "".join(rng.choice("acgt") for _ in range(1_000_000)), "=" * 1_000_000]
+    library, own = Tokenizer.from_file(path), Codec(path)
+    tracemalloc.start()
+    for text in made:
+        got = np.frombuffer(own.encode(text), "<u4")
+        assert own.count(text) == len(got)
+        part = text if "<" not in own.end else text[:20_000]
+        assert np.frombuffer(own.encode(part), "<u4").tolist() == library.encode(part, add_special_tokens=False).ids
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+
+
+def test_a_full_table_is_emptied(monkeypatch):
+    from scholar_spark.llm import bpe
+
+    monkeypatch.setattr(bpe, "MAX_STATES", 40)
+    for path in (WORD, BYTE):
+        library, own = Tokenizer.from_file(path), Codec(path)
+        for text in texts():
+            assert np.frombuffer(own.encode(text or ""), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
