@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Written, arrow_map, free_name, sent
 
 WINDOW = 8
 #: A hit covers this share of the item's template tokens, or this many tokens in a row.
@@ -207,7 +207,7 @@ def find_leaks(
     another value: a re-parameterised question), longest_run. The best diagonal of a pair counts (most
     tokens, then fewest changed slots). A hit covers at least ``share`` of the item, or ``run`` tokens in
     a row. Null or empty texts and items hit nothing; items repeated under one id count as one id; an
-    empty benchmark gives an empty result. Rows that repeat a key give one row for each item.
+    empty benchmark or table gives an empty result; texts of any length are read whole; other columns are not read. Rows that repeat a key give one row for each item.
     """
     spark = docs.sparkSession
     items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
@@ -232,6 +232,11 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, strict: bool = True) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no benchmark item; null keys are judged together."""
-    leaks = find_leaks(docs, benchmark, strict=strict).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    """The rows of ``docs`` whose doc_id holds no benchmark item; null keys are judged together.
+
+    All columns pass through, whatever their names. Null and empty texts hold nothing; rows that repeat a
+    doc_id go if any of them holds an item; an empty benchmark keeps all rows.
+    """
+    name = free_name("leaked", docs.columns)
+    leaks = Written(find_leaks(docs, benchmark, strict=strict).select(F.col("doc_id").alias(name)).distinct(), "leaked")
+    return docs.join(sent(leaks.df), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

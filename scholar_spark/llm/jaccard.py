@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, arrow_map, connected_components
+from .common import Written, arrow_map, connected_components, free_name, sent
 
 WORDS = 5
 #: Similarity as numerator and denominator: link when DEN * intersection >= NUM * union.
@@ -47,8 +47,8 @@ GROUP = 65_536
 FOLD, ROUNDS = 16, 2
 #: Members verified in one task against one smallest member.
 STAR = 256
-#: Ids that may be sent to all executors to pick out texts (8 bytes each); beyond it a shuffle join does so.
-SENT_IDS = 2_000_000
+#: Sets or groups that a task remembers so as not to send them twice; a full memory is emptied.
+SEEN = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,10 +159,11 @@ def fingerprint(tokens: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def sketch_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n, set (fingerprint; null if empty), sketch and keys for each row.
+def sketch_documents(docs: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, n, set (fingerprint; null if empty), sketch, fold and keys for each row, and the columns ``carry``.
 
-    Copies of one set send keys once for each task: that is the combine before the shuffle.
+    Copies of one set send keys once for each task, as far as SEEN sets are remembered: that is the combine
+    before the shuffle.
     """
 
     def make():
@@ -170,20 +171,25 @@ def sketch_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         def each(row):
             tokens = shingle_set(row[text])
+            extra = tuple(row[c] for c in carry)
             if not len(tokens):
-                yield row[key], 0, None, None, None, None
+                yield row[key], 0, None, None, None, None, *extra
                 return
             own = fingerprint(tokens)
             if own in seen:
-                yield row[key], len(tokens), own, None, None, None
+                yield row[key], len(tokens), own, None, None, None, *extra
             else:
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(own)
                 sketch = parity_sketch(tokens)
-                yield row[key], len(tokens), own, sketch, folded(sketch), block_keys(tokens).astype("<u8").tobytes()
+                yield row[key], len(tokens), own, sketch, folded(sketch), block_keys(tokens).astype("<u8").tobytes(), *extra
 
         return each
 
-    return arrow_map(docs.select(key, text), make, f"`{key}` bigint, n bigint, set bigint, sketch binary, fold array<bigint>, keys binary")
+    schema = [f"`{key}` bigint, n bigint, set bigint, sketch binary, fold array<bigint>, keys binary"]
+    schema += [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return arrow_map(docs.select(key, text, *carry), make, ", ".join(schema))
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +224,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = int(np.array([xxhash.xxh3_64_intdigest(members.tobytes())], np.uint64).view(np.int64)[0])
         if own in seen:
             return None
+        if len(seen) >= SEEN:
+            seen.clear()
         seen.add(own)
         return out(own, members, members[0], len(members) > 2)
 
@@ -252,9 +260,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """Of ``pairs`` (a, b: set, least), those whose whole texts link, as a written table (a, b)."""
-    spark = docs.sparkSession
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text: str) -> Written:
+    """Of ``pairs`` (a, b: set, least), those whose whole texts link: (a, b)."""
     small = sets.select(F.col("set"), F.col("n"), F.col("sketch"), F.col("holder"))
     left = small.toDF("a", "na", "ska", "ha")
     right = small.toDF("b", "nb", "skb", "hb")
@@ -275,10 +282,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text
         F.col("hb").alias(key), F.col("b").alias("a"), "b", "part", F.lit(0).alias("member")
     )
     roles = Written(members.unionByName(centres), "roles")
-    wanted = roles.df.select(key).distinct()
-    if wanted.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(key, text).join(wanted, key, "left_semi")
+    texts = docs.select(key, text).join(sent(roles.df.select(key).distinct()), key, "left_semi")
     rows = texts.join(roles.df, key).select("a", "b", "part", "member", text)
     rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "member")
 
@@ -301,7 +305,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text
     found = Written(rows.mapInArrow(check, "a bigint, b bigint"), "links")
     close.drop()
     roles.drop()
-    return found.df
+    return found
 
 
 def _across(mixed: DataFrame, turn: int | None) -> DataFrame:
@@ -324,17 +328,18 @@ def _across(mixed: DataFrame, turn: int | None) -> DataFrame:
     return both.where(near).select(F.greatest("x.set", "y.set").alias("a"), F.least("x.set", "y.set").alias("b"))
 
 
-def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Components of documents whose word shingle sets have a Jaccard similarity of 0.8 or more.
 
     Returns one row per input row: key, n_shingles (set size), component_id (smallest key reachable by
     links, itself included). Rows with a null, empty or wordless text have size 0 and link with nothing.
     Repeated rows each give a row, and rows that repeat a key with another text are linked by their own
-    texts. A null key is linked only with rows of the very same shingles. Other columns are not read; an
-    empty table gives an empty result.
+    texts. A null key is linked only with rows of the very same shingles. Texts of any length are read
+    whole. The columns ``carry`` (none of the names above) pass through, others are not read; an empty
+    table gives an empty result.
     """
-    base = docs.select(F.col(key).cast("bigint").alias(key), text)
-    drawn = Written(sketch_documents(base, key, text), "sketches")
+    base = docs.select(F.col(key).cast("bigint").alias(key), text, *carry)
+    drawn = Written(sketch_documents(base, key, text, carry), "sketches")
     filled = drawn.df.where("set IS NOT NULL")
     sets = filled.groupBy("set").agg(
         F.min(key).alias("holder"), F.first("n").alias("n"), F.max("sketch").alias("sketch"), F.max("fold").alias("fold")
@@ -348,33 +353,61 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     stars = groups.df.where("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
     sets = Written(sets.join(groups.df.select("set").distinct(), "set", "left_semi"), "sets")
-    first = _verified(base, sets.df, stars, key, text)
-    roots = connected_components(first)
+    stars = Written(stars, "stars")
+    tried, found = [stars], [_verified(base, sets.df, stars.df, key, text)]
+    roots = connected_components(found[0].df)
 
     # groups of three or more that are not yet one component
     held = groups.df.where("many").select("group", "set").distinct()
-    held = held.join(sets.df.select("set", "n", "fold"), "set")
-    tried, found = [stars.select("a", "b")], [first]
+    held, last = held.join(sets.df.select("set", "n", "fold"), "set"), groups
     for turn in range(1, ROUNDS + 1):
         mixed = held.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
         mixed = mixed.withColumn("root", F.coalesce("root", "set"))
         several = mixed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        held = Written(mixed.join(several.select("group"), "group", "left_semi"), "mixed")
-        mixed, held = held.df, held.df.drop("root")
-        if mixed.isEmpty():
+        mixed = Written(mixed.join(several.select("group"), "group", "left_semi"), "mixed")
+        last.drop()
+        held, last = mixed.df.drop("root"), mixed
+        if mixed.df.isEmpty():
             break
-        pairs = _across(mixed, turn if turn < ROUNDS else None).distinct()
-        fresh = Written(pairs.join(reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti"), "across").df
-        if fresh.isEmpty():
-            continue
+        pairs = _across(mixed.df, turn if turn < ROUNDS else None).distinct()
+        fresh = Written(pairs.join(reduce(DataFrame.unionByName, [t.df for t in tried]), ["a", "b"], "left_anti"), "across")
         tried.append(fresh)
-        found.append(_verified(base, sets.df, fresh, key, text))
-        roots = connected_components(reduce(DataFrame.unionByName, found))
-    whole = roots
+        if fresh.df.isEmpty():
+            continue
+        found.append(_verified(base, sets.df, fresh.df, key, text))
+        roots = connected_components(reduce(DataFrame.unionByName, [f.df for f in found]))
+    for done in (sets, last, *tried, *found):
+        done.drop()
 
-    named = filled.select(key, "n", "set").join(whole.select(F.col("node").alias("set"), "root"), "set", "left")
-    named = named.select(key, "n", F.coalesce("root", "set").alias("root"))
+    named = filled.select(key, "n", "set", *carry).join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
+    named = named.select(key, "n", F.coalesce("root", "set").alias("root"), *carry)
     least = named.groupBy("root").agg(F.min(key).alias("component_id"))
-    linked = named.join(least, "root").select(key, F.col("n").alias("n_shingles"), "component_id")
-    empty = drawn.df.where("set IS NULL").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
+    linked = named.join(least, "root").select(key, F.col("n").alias("n_shingles"), "component_id", *carry)
+    empty = drawn.df.where("set IS NULL").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"), *carry)
     return linked.unionByName(empty)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest doc_id, then of a hash of the row.
+
+    Rows are told apart by doc_id and text; of rows that repeat both one stays. Null doc_ids come first.
+    Rows without words link with nothing, but repeated ones are kept once as well. All columns pass
+    through, whatever their names; an empty table gives an empty result.
+    """
+    names = docs.columns
+    row = free_name("row", names)
+    own = F.xxhash64("doc_id", "text")
+    links = link_documents(docs.select(own.alias("row"), "doc_id", "text"), "row", "text", ("doc_id",))
+    links = Written(links.select("row", "n_shingles", "component_id", "doc_id"), "linked")
+    place = F.struct("doc_id", "row")
+    groups = links.df.where("n_shingles > 0").groupBy("component_id").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    groups = Written(groups.where("least <> most").select("component_id", F.col("least.row").alias("least")), "groups")
+    gone = Written(links.df.join(sent(groups.df), "component_id").where("row <> least").select("row").distinct(), "gone")
+    again = Written(links.df.groupBy("row").agg(F.count("*").alias("many")).where("many > 1").select("row"), "again")
+    left = docs.withColumn(row, own).join(sent(gone.df.toDF(row)), row, "left_anti")
+    if not again.df.isEmpty():
+        again = sent(again.df.toDF(row))
+        left = left.join(again, row, "left_anti").unionByName(left.join(again, row, "left_semi").dropDuplicates([row]))
+    for done in (links, groups):
+        done.drop()
+    return left.select(*[f"`{n}`" for n in names])

@@ -208,25 +208,33 @@ def verdict(rules: list[Rule]) -> Column:
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, ``COUNTS``, base_failed and kept for each row of ``docs``.
 
-    A null or empty text has no words, so it fails the base test. Repeated rows and null keys give a
-    row each. With an empty ``labels`` only the base test decides.
+    A null or empty text has no words, so it fails the base test; a text of any length is read whole.
+    Repeated rows and null keys give a row each; other columns are not read. With an empty ``labels`` only
+    the base test decides; an empty ``docs`` gives an empty result.
     """
     rules = fit_rules(docs, labels)
     return text_counts(docs).withColumn("base_failed", base_failed()).withColumn("kept", verdict(rules))
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """What the query of operator 10 returns, from ``judge_quality``; odd rows and tables are as there."""
     return judge_quality(docs, labels).select("doc_id", *COUNTS[:5], "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is judged good, with the columns of ``docs``; one pass over the texts."""
+    """The rows of ``docs`` whose text is judged good, with the columns of ``docs``; one pass over the texts.
+
+    Columns may have any names, those of the counts too. Null and empty texts go, as they have no words;
+    repeated rows are judged alike; an empty table gives an empty result.
+    """
     rules = fit_rules(docs, labels)
     names = docs.columns
+    own = docs.toDF(*[f"in_{i}" for i in range(len(names))])
+    text = own.columns[names.index("text")]
 
     def make():
-        return lambda row: ((*[row[n] for n in names], *count_text(row["text"])),)
+        return lambda row: ((*row.values(), *count_text(row[text])),)
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    counted = arrow_map(docs, make, f"{kinds}, " + ", ".join(f"`{c}` bigint" for c in COUNTS))
-    return counted.where(verdict(rules)).select(*names)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    counted = arrow_map(own, make, f"{kinds}, " + ", ".join(f"`{c}` bigint" for c in COUNTS))
+    return counted.where(verdict(rules)).select(*own.columns).toDF(*names)

@@ -6,7 +6,7 @@ import re
 
 import public_tokenizers
 import pytest
-from scholar_spark.llm import chat, decontaminate, html, language, licenses, quality
+from scholar_spark.llm import chat, decontaminate, html, jaccard, language, licenses, quality
 
 
 def key(r):
@@ -222,7 +222,8 @@ def test_pipeline_stages_on_fixture(spark, tmp_path):
     """Each stage against what brute force leaves of its own input."""
     import corpus_pipeline as pipeline
     from scholar_spark.llm.common import Written
-    from test_pairs import brute_jaccard, brute_lines
+    from test_lines import brute_lines
+    from test_pairs import brute_jaccard
 
     rng = random.Random(12)
     base = [" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(12)]
@@ -248,7 +249,7 @@ def test_pipeline_stages_on_fixture(spark, tmp_path):
         if name == "quality_rules":
             want = {i: t for i, t in was.items() if i < 100}
         elif name == "line_dedup":
-            want, _ = brute_lines(spark, sorted(was.items()))
+            want, _ = brute_lines(sorted(was.items()))
         elif name == "near_duplicates":
             ids = sorted(was)
             classes, _ = brute_jaccard([was[i] for i in ids])
@@ -261,3 +262,31 @@ def test_pipeline_stages_on_fixture(spark, tmp_path):
     assert {r["doc_id"] for r in out} == set(was) and all(len(r["token_ids"]) == 4 * r["n_tokens"] for r in out)
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == set(was)
     assert public_tokenizers.path(pipeline.TOKENIZER)
+
+
+def test_pipeline_takes_odd_tables(spark, tmp_path):
+    """Clashing column names, repeated rows and ids, null keys, a very long text, and an empty table."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(3)
+    text = lambda n=60: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    same, near = text(), text(200)
+    rows = [(7, same), (7, same), (7, near), (3, near + " new words"), (None, text()), (None, same.upper()), (1, text(60_000)), (2, None), (4, "")]
+    rows = [(i, t, "en", "s", 1, "a", "b", "c", "d", "e", "f", "g") for i, t in rows]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, leaked string, n_lines string, row string, component_id string, least string, `a.b` string"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, text(30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for first in (docs, docs.where("false")):
+        now = first
+        for name, stage in pipeline.STAGES[:4]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns, name
+            if name == "near_duplicates":
+                got = sorted((str(r["doc_id"]), len((r["text"] or "").split())) for r in now.collect())
+        assert bool(got) == (first is docs)
+        assert pipeline.STAGES[4][1](spark, now, str(tmp_path)).count() == now.count()
+    one = jaccard.keep_one(docs.where("doc_id IS NULL OR doc_id IN (3, 7)")).collect()
+    kept = sorted((str(r["doc_id"]), len(r["text"].split())) for r in one)
+    # of the copies of `same` the row with the null key stays, of those of `near` the one with the smaller id
+    assert kept == [("3", 202), ("None", 60), ("None", 60)]
