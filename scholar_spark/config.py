@@ -14,6 +14,10 @@ DEFAULTS = MappingProxyType(
         "top_n": 10,
         "max_institutions_per_paper": 50,
         "topic_candidates": (3, 4, 5, 6, 7, 8, 9, 10),
+        "topics": True,
+        "topic_scopes": ("Global_All",),
+        "nmf_iterations": 500,
+        "country": None,
         "topic_bin_years": 5,
         "topic_cooccurrence": 0.1,
         "min_country_documents": 10,

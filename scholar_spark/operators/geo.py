@@ -89,3 +89,14 @@ def similar_names(table: DataFrame, asked: str) -> list[str]:
     """At most ten countries whose name contains what was asked, for an error text."""
     rows = table.where(F.lower("country").contains(asked.lower())).orderBy("country").limit(10)
     return [r["country"] for r in rows.collect()]
+
+
+def top_cited(table: DataFrame, top: int) -> DataFrame:
+    """The countries of most citations."""
+    return table.orderBy(F.desc("cites"), "country").limit(top)
+
+
+def labelled(table: DataFrame, articles: int = 15, others: int = 10) -> DataFrame:
+    """The countries that a chart names, once each: most articles, largest mean impact, most citations."""
+    by = lambda c, n: table.where(F.col(c).isNotNull()).orderBy(F.desc(c), "country").limit(n).select("country")
+    return by("articles", articles).union(by("mean_mncs", others)).union(by("cites", others)).distinct()

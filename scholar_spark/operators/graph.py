@@ -185,28 +185,12 @@ def louvain(edges: list[tuple]) -> dict:
 
 
 def communities(edges: DataFrame) -> DataFrame:
-    """node, community: Louvain below ``MAX_COMMUNITY_EDGES`` edges, label propagation beyond."""
-    spark = edges.sparkSession
+    """node, community by Louvain on the driver; an error beyond ``MAX_COMMUNITY_EDGES`` edges."""
     few = edges.limit(MAX_COMMUNITY_EDGES + 1).collect()
-    if len(few) <= MAX_COMMUNITY_EDGES:
-        found = louvain(sorted((r["src"], r["dst"], float(r["weight"])) for r in few)) if few else {}
-        return spark.createDataFrame(sorted(found.items()), "node string, community int")
-    return label_propagation(edges)
-
-
-def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """node, community: each node takes the label with the most weight around it, ties the smallest."""
-    ends = mirrored(edges).persist()
-    now = ends.select("node", F.col("node").alias("label")).distinct()
-    for _ in range(rounds):
-        votes = ends.join(now.toDF("other", "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
-        now = votes.groupBy("node").agg(F.min_by("label", F.struct((-F.col("w")).alias("a"), F.col("label").alias("b"))).alias("label"))
-        spark = edges.sparkSession
-        if spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-            now = now.checkpoint()
-    size = now.groupBy("label").agg(F.count("*").alias("n"))
-    number = size.select("label", (F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1).alias("community"))
-    return now.join(number, "label").select("node", F.col("community").cast("int").alias("community"))
+    if len(few) > MAX_COMMUNITY_EDGES:
+        raise ValueError(f"communities of more than {MAX_COMMUNITY_EDGES:,} edges: take a smaller scope or stronger ties")
+    found = louvain(sorted((r["src"], r["dst"], float(r["weight"])) for r in few)) if few else {}
+    return edges.sparkSession.createDataFrame(sorted(found.items()), "node string, community int")
 
 
 def community_tables(edges: DataFrame, members: DataFrame, productivity: DataFrame) -> tuple[DataFrame, DataFrame]:

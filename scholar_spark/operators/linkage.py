@@ -120,6 +120,28 @@ def prisma(articles: DataFrame, fused: DataFrame) -> DataFrame:
     return before.crossJoin(after)  # one row each
 
 
+#: Rows of the flow table: stage, counter.
+PRISMA_ROWS = (
+    ("Records merged", "n_merged"), ("Records with a DOI", "n_with_doi"), ("Records without a DOI", "n_without_doi"),
+    ("DOIs normalized", "n_doi_changed"), ("Records without a title", "n_missing_title"), ("Records without a year", "n_missing_year"),
+    ("Duplicates removed by DOI", "n_removed_doi"), ("Duplicates removed by title and year", "n_removed_title_year"),
+    ("Groups fused", "n_fused_groups"), ("Records after fusion", "n_final"),
+)
+
+
+def prisma_table(counts: DataFrame) -> DataFrame:
+    """The one row of ``prisma`` as (position, stage, n)."""
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(stage).alias("stage"), F.col(c).cast("bigint").alias("n")) for i, (stage, c) in enumerate(PRISMA_ROWS, 1)])
+    return counts.select(F.inline(rows))
+
+
+def temporal_audit(before: DataFrame, after: DataFrame, cutoff: int | None, year: str = "year") -> DataFrame:
+    """One row: whether the time filter ran, its cutoff, articles before and after, and the years that are left."""
+    left = after.agg(F.count("*").alias("n_after"), F.min(year).cast("int").alias("first_year"), F.max(year).cast("int").alias("last_year"))
+    head = before.agg(F.count("*").alias("n_before")).select(F.lit(cutoff is not None).alias("applied"), F.lit(cutoff).cast("int").alias("cutoff"), "n_before")
+    return head.crossJoin(left)  # one row each
+
+
 def prisma_text(counts: dict) -> str:
     """The flow as text, with the balance merged - removed = final."""
     removed = counts["n_removed_doi"] + counts["n_removed_title_year"]

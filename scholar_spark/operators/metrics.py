@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def add_mncs(articles: DataFrame) -> DataFrame:
     The years' means are aggregated first (a row a year, map-side combined) and joined back; a window over
     the year would put a whole year into one task.
     """
-    out = articles.join(F.broadcast(year_means(articles).limit(10_000)), "year", "left")  # years: a few hundred at most
+    out = articles.join(year_means(articles), "year", "left")  # a row a year: sent to all by its size at run time
     defined = F.col("cites").isNotNull() & (F.col("ref_mean") > 0)
     return out.withColumn("mncs", F.when(defined, F.col("cites") / F.col("ref_mean"))).withColumn("mncs_defined", F.coalesce(defined, F.lit(False)))
 
@@ -78,6 +79,17 @@ def trend(yearly: DataFrame, x: str = "year", y: str = "n") -> DataFrame:
     )
 
 
+def trend_test(fitted: DataFrame) -> DataFrame:
+    """The one row of ``trend`` with p_value: two-sided, that the slope is 0."""
+
+    @F.pandas_udf("double")
+    def p(slope: pd.Series, error: pd.Series, n: pd.Series) -> pd.Series:
+        t = [math.inf if e == 0 and b else math.nan if not e or e != e else b / e for b, e in zip(slope, error)]
+        return pd.Series([0.0 if math.isinf(x) else t_two_sided(x, int(k) - 2) for x, k in zip(t, n)])
+
+    return fitted.withColumn("p_value", F.nullif(p("slope", "stderr", "n"), F.lit(float("nan"))))
+
+
 def cagr(first: Column, last: Column, years: Column) -> Column:
     """(last / first) ** (1 / years) - 1; null where first or years is not positive."""
     return F.when((first > 0) & (years > 0), F.pow(F.try_divide(last, first), F.try_divide(F.lit(1.0), years)) - 1)
@@ -198,7 +210,7 @@ def bradford(articles: DataFrame, by: str = "source") -> DataFrame:
     per = per.select("n", zero(F.sum("k").over(before)).alias("ahead"), zero(F.sum(F.col("k") * F.col("n")).over(before)).alias("articles_ahead"))
     total = n.agg(F.sum("n").alias("total"))
     inner = Window.partitionBy("n").orderBy(by)
-    out = n.withColumn("i", F.row_number().over(inner)).join(F.broadcast(per.limit(1_000_000)), "n").crossJoin(F.broadcast(total))  # total: one row
+    out = n.withColumn("i", F.row_number().over(inner)).join(per, "n").crossJoin(F.broadcast(total))  # total: one row
     running = (F.col("articles_ahead") + F.col("i") * F.col("n")).cast("bigint")
     out = out.select(by, "n", (F.col("ahead") + F.col("i")).cast("bigint").alias("rank"), running.alias("running"), "total")
     zone = F.when(3 * F.col("running") <= F.col("total"), 1).when(3 * F.col("running") <= 2 * F.col("total"), 2).otherwise(3)
@@ -244,6 +256,8 @@ def landscape(articles: DataFrame, by: str = "source") -> DataFrame:
 def article_ranking(articles: DataFrame, top: int) -> DataFrame:
     """The ``top`` most cited articles with their rank."""
     first = articles.withColumn("cites", zero(F.col("cites"))).orderBy(F.desc("cites"), "id").limit(top)
+    if "Title" in articles.columns:
+        first = first.withColumn("short_title", X.truncate(F.col("Title"), 70)).withColumn("first_author", F.get("authors", F.lit(0)))
     return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cites"), "id")))  # over the top rows only
 
 
@@ -252,22 +266,40 @@ def hot_papers(articles: DataFrame, as_of: int, top: int) -> DataFrame:
 
 
 def final_summary(articles: DataFrame, as_of: int) -> DataFrame:
-    """One row of descriptors of the whole corpus."""
-    n = F.size("authors")
+    """One row of descriptors of the whole corpus; the mean of authors leaves out documents without any.
+
+    References and unique keywords are there if ``articles`` has refs, keywords (an array) or index_keywords.
+    """
+    n, year, has = F.size("authors"), F.col("year").cast("int"), articles.columns
+    ends = articles.agg(F.min(year).alias("lo"), F.max(year).alias("hi"))
+    near = articles.join(F.broadcast(ends), (year == F.col("lo")) | (year == F.col("hi"))).groupBy("lo", "hi").agg(  # ends: one row
+        F.count_if(year == F.col("lo")).alias("first"), F.count_if(year == F.col("hi")).alias("last")
+    )
+    growth = near.agg(F.first(100 * cagr(F.col("first").cast("double"), F.col("last").cast("double"), F.col("hi") - F.col("lo"))).alias("growth_pct"))
     base = articles.agg(
         F.count("*").alias("documents"),
-        F.min("year").cast("int").alias("first_year"),
-        F.max("year").cast("int").alias("last_year"),
+        F.min(year).alias("first_year"),
+        F.max(year).alias("last_year"),
         F.avg(F.lit(as_of) - F.col("year")).alias("mean_age"),
         F.count_distinct("source").alias("sources"),
         F.avg(zero(F.col("cites"))).alias("mean_cites"),
         zero(F.sum("cites")).cast("bigint").alias("total_cites"),
-        F.avg(n).alias("authors_per_document"),
+        F.avg(F.when(n > 0, n)).alias("authors_per_document"),
         F.count_if(n == 1).alias("single_authored"),
-        *([(100.0 * F.count_if(F.size("countries") > 1) / F.nullif(F.count("*"), F.lit(0))).alias("international_pct")] if "countries" in articles.columns else []),
+        *([(100.0 * F.count_if(F.size("countries") > 1) / F.nullif(F.count("*"), F.lit(0))).alias("international_pct")] if "countries" in has else []),
+        *([zero(F.sum("refs")).cast("bigint").alias("references")] if "refs" in has else []),
     )
-    authors = articles.select(F.explode("authors").alias("a")).agg(F.count_distinct("a").alias("authors"))
-    return base.crossJoin(authors)  # one row each
+    counted = [("authors", "authors")] + [(c, f"unique_{c}") for c in ("keywords", "index_keywords") if dict(articles.dtypes).get(c) == "array<string>"]
+    for c, name in counted:
+        base = base.crossJoin(articles.select(F.explode(c).alias("x")).agg(F.count_distinct(F.lower("x") if c != "authors" else "x").alias(name)))  # one row each
+    return base.crossJoin(growth)
+
+
+def document_snapshot(articles: DataFrame, top: int = 5) -> DataFrame:
+    """The most frequent document types as they are written in lower case, with their normal form."""
+    kinds = articles.select(F.explode(F.split(F.lower("doc_type"), ";")).alias("t")).select(X.strip(F.col("t")).alias("doc_type"))
+    n = kinds.groupBy("doc_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_type").limit(top)
+    return n.withColumn("normal", X.doc_type(F.col("doc_type")))
 
 
 def frequency(df: DataFrame, item: str, top: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scholar_spark import schema as S
 from scholar_spark.functions import text as X
+from scholar_spark.operators.lineage import cut
 from scholar_spark.operators.metrics import zero
 
 TEXT_COLUMNS = ("Keywords Plus", "Author Keywords", "Abstract", "Title")
@@ -54,22 +55,23 @@ def min_df(documents: int) -> int:
 
 
 def _grams(k: int) -> Column:
-    """Structs of k and each k-gram of the array w."""
+    """For each k-gram of the array w in alphabetical order: k, the gram, 1 at the first of equal ones."""
     at = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.lit(k).alias("n"), F.array_join(F.slice("w", i, k), " ").alias("ngram")))
+    sorted_ = F.sort_array(F.transform(at, lambda i: F.array_join(F.slice("w", i, k), " ")))
+    before = F.concat(F.array(F.lit("").cast("string")), sorted_)
+    return F.zip_with(sorted_, F.slice(before, 1, F.size(sorted_)), lambda g, b: F.struct(F.lit(k).alias("n"), g.alias("ngram"), (g != b).cast("int").alias("new")))
 
 
 def ngrams(docs: DataFrame, text: str = "text", n: tuple[int, int] = (1, 4), row: str = "id") -> DataFrame:
     """(ngram, n, total, df): occurrences and documents of every n-gram of tokens of two or more word characters.
 
-    Counts within a document come first, on the document's own array, so the shuffle has one row for each
-    document and distinct n-gram, further combined map-side.
+    A document's equal n-grams stand together in its own sorted array, where the first is marked: one
+    aggregate with map-side combine then counts both occurrences and documents, in one shuffle.
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b\w[\w-]*\w\b"), F.lit(0))
-    rows = docs.select(F.col(row).alias("row"), words.alias("w"))
-    grams = F.concat(*[_grams(k) for k in range(n[0], n[1] + 1)])
-    each = rows.select("row", F.explode(grams).alias("g")).select("row", "g.n", "g.ngram")
-    return each.groupBy("row", "n", "ngram").agg(F.count("*").alias("tf")).groupBy("ngram", "n").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    rows = docs.select(words.alias("w"))
+    each = rows.select(F.explode(F.concat(*[_grams(k) for k in range(n[0], n[1] + 1)])).alias("g")).select("g.ngram", "g.n", "g.new")
+    return each.groupBy("ngram", "n").agg(F.count("*").alias("total"), F.sum("new").alias("df"))
 
 
 def frequent_ngrams(docs: DataFrame, least: int | None = None, most: float = 0.90, blocked: tuple[str, ...] = S.BLOCKED_PHRASES, **kind) -> DataFrame:
@@ -97,7 +99,8 @@ def k_grid(candidates, documents: int, vocabulary: int) -> list[int]:
 def document_terms(docs: DataFrame, text: str = "processed", least: float = 1.0, most: float = 0.95):
     """(rows with a term vector, vocabulary): counts of tokens of two or more word characters."""
     rows = docs.withColumn("tokens", F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)))
-    model = CountVectorizer(inputCol="tokens", outputCol="terms", minDF=least, maxDF=most).fit(rows)
+    size = rows.select(F.explode(F.array_distinct("tokens")).alias("t")).agg(F.count_distinct("t")).first()[0]
+    model = CountVectorizer(inputCol="tokens", outputCol="terms", minDF=least, maxDF=most, vocabSize=max(1, size)).fit(rows)
     return model.transform(rows), model.vocabulary
 
 
@@ -105,11 +108,39 @@ def fit_lda(rows: DataFrame, k: int, iterations: int = 50, seed: int = 42):
     return LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="terms").fit(rows)
 
 
+def topic_terms(model, vocabulary: list[str], n: int = 15) -> DataFrame:
+    """(topic from 1, rank from 0, term) of each topic's first n terms; the vocabulary is a table, not a literal."""
+    words = model.describeTopics(n).sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
+    shown = model.describeTopics(n).select((F.col("topic") + 1).alias("topic"), F.posexplode("termIndices").alias("rank", "i"))
+    return words.join(F.broadcast(shown), "i").select("topic", "rank", "term")  # shown: n rows a topic
+
+
+def joined_terms(shown: DataFrame) -> DataFrame:
+    """topic and its terms in order, joined by ' | '."""
+    terms = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " | ")
+    return shown.groupBy("topic").agg(terms.alias("terms"))
+
+
 def describe_topics(model, vocabulary: list[str], n: int = 15) -> DataFrame:
-    """topic (from 1) and its first terms joined by ' | '."""
-    words = F.array(*[F.lit(w) for w in vocabulary])
-    terms = F.array_join(F.transform("termIndices", lambda i: F.element_at(words, i + 1)), " | ")
-    return model.describeTopics(n).select((F.col("topic") + 1).alias("topic"), terms.alias("terms"))
+    return joined_terms(topic_terms(model, vocabulary, n))
+
+
+def nmf_terms(h: DataFrame, n: int = 15) -> DataFrame:
+    """(topic from 1, rank from 0, term) of each factor's n heaviest terms; ``h`` as ``fit_nmf`` gives it."""
+    each = h.select("term", F.posexplode("h").alias("t", "w")).select((F.col("t") + 1).alias("topic"), "term", "w")
+    heavy = Window.partitionBy("topic").orderBy(F.desc("w"), "term")
+    return each.withColumn("rank", F.row_number().over(heavy) - 1).where(F.col("rank") < n).select("topic", "rank", "term")
+
+
+def term_weights(rows: DataFrame) -> DataFrame:
+    """(id, term, tf) for NMF from tokens: counts times ln((1 + documents) / (1 + df)) + 1, of length 1 for each document."""
+    counts = rows.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    total = rows.agg(F.count("*").alias("all"))
+    own = counts.join(df, "term").crossJoin(F.broadcast(total))  # total: one row
+    own = own.select("id", "term", (F.col("tf") * (F.ln((1 + F.col("all")) / (1 + F.col("df"))) + 1)).alias("w"))
+    length = own.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    return own.join(length, "id").select("id", "term", (F.col("w") / F.col("length")).alias("tf"))
 
 
 def with_topics(model, rows: DataFrame) -> DataFrame:
@@ -118,6 +149,11 @@ def with_topics(model, rows: DataFrame) -> DataFrame:
     return out.withColumn("topic", F.array_position("topic_mix", F.array_max("topic_mix")).cast("int"))
 
 
+def of_topic(rows: DataFrame, topic: int) -> DataFrame:
+    """The articles whose first topic it is."""
+    return rows.where(F.col("topic") == topic)
+
+
 def umass_coherence(topic_terms: DataFrame, doc_terms: DataFrame) -> DataFrame:
     """coherence: mean over topics and pairs of their terms (later, earlier) of ln((D(both) + 1) / max(1, D(earlier))).
 
@@ -135,13 +171,12 @@ def umass_coherence(topic_terms: DataFrame, doc_terms: DataFrame) -> DataFrame:
     return pairs.agg(F.avg(F.ln((zero(F.col("both")) + 1) / F.greatest(F.lit(1), zero(F.col("d"))))).alias("coherence"))
 
 
-def fit_nmf(doc_terms: DataFrame, k: int, iterations: int = 50, seed: int = 42, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
+def fit_nmf(doc_terms: DataFrame, k: int, iterations: int = 500, seed: int = 42, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
     """Non-negative factors by multiplicative updates: (id, w array), (term, h array), losses.
 
     doc_terms has id, term, tf. Only the k x k Gram matrices and losses reach the driver; both factors stay
-    distributed and are checkpointed where the session names a folder.
+    distributed and are checkpointed in every round.
     """
-    spark = doc_terms.sparkSession
     x = doc_terms.select("id", "term", F.col("tf").cast("double").alias("tf")).persist()
     square = x.agg(F.sum(F.col("tf") * F.col("tf"))).first()[0] or 0.0
 
@@ -161,7 +196,7 @@ def fit_nmf(doc_terms: DataFrame, k: int, iterations: int = 50, seed: int = 42,
         m = gram(g)
         below = [sum((F.col("f")[j] * float(m[j, i]) for j in range(k)), F.lit(1e-12)) for i in range(k)]
         out = f.join(sums, key).select(key, F.array(*[F.col("f")[i] * F.col(f"n{i}") / below[i] for i in range(k)]).alias("f"))
-        return out.checkpoint() if spark.sparkContext.getConf().get("spark.checkpoint.dir") else out.persist()
+        return cut(out)
 
     w, h, losses = start("id"), start("term"), []
     for _ in range(iterations):

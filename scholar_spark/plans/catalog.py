@@ -247,11 +247,22 @@ def landscape(spark, d):
 
 
 @query(f""" SELECT count(*) AS documents, min(year) AS first_year, max(year) AS last_year, round(avg({AS_OF} - year), 6) AS mean_age, count(DISTINCT source) AS sources,
-  round(avg(coalesce(cites, 0)), 6) AS mean_cites, CAST(coalesce(sum(cites), 0) AS BIGINT) AS total_cites, round(avg(len(authors)), 6) AS authors_per_document,
+  round(avg(coalesce(cites, 0)), 6) AS mean_cites, CAST(coalesce(sum(cites), 0) AS BIGINT) AS total_cites, round(avg(len(authors)) FILTER (len(authors) > 0), 6) AS authors_per_document,
   count(*) FILTER (len(authors) = 1) AS single_authored, round(100.0 * count(*) FILTER (len(countries) > 1) / count(*), 6) AS international_pct,
-  (SELECT count(DISTINCT author) FROM ap JOIN orders ON id = o_orderkey) AS authors FROM art""")
+  (SELECT count(DISTINCT author) FROM ap JOIN orders ON id = o_orderkey) AS authors,
+  round(100.0 * (power(CAST(count(*) FILTER (year = (SELECT max(year) FROM art)) AS DOUBLE) / count(*) FILTER (year = (SELECT min(year) FROM art)), 1.0 / (max(year) - min(year))) - 1), 6) AS growth_pct FROM art""")
 def final_summary(spark, d):
-    return rounded(metrics.final_summary(articles(spark, d, mncs=False), AS_OF), "mean_age", "mean_cites", "authors_per_document", "international_pct")
+    return rounded(metrics.final_summary(articles(spark, d, mncs=False), AS_OF), "mean_age", "mean_cites", "authors_per_document", "international_pct", "growth_pct")
+
+
+@query(""" SELECT trim(k) AS doc_type, count(*) AS n FROM (SELECT unnest(string_split(lower(doc_type), ';')) AS k FROM art) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5""")
+def document_snapshot(spark, d):
+    return metrics.document_snapshot(articles(spark, d, False, False)).select("doc_type", "n")
+
+
+@query(TOPICS + " SELECT topic, author AS item, count(*) AS n FROM mix JOIN (SELECT DISTINCT id, author FROM ap) USING (id) WHERE topic = 2 GROUP BY ALL")
+def topic_network(spark, d):
+    return graph.ranking(themes.of_topic(with_topics(spark, d), 2), "authors").select(F.lit(2).alias("topic"), "item", "n")
 
 
 @query(""" SELECT CASE len(countries) WHEN 0 THEN 'Unknown' WHEN 1 THEN 'SCP' ELSE 'MCP' END AS class, count(*) AS n, round_even(100.0 * count(*) / (SELECT count(*) FROM art), 1) AS pct FROM art GROUP BY 1
@@ -497,7 +508,7 @@ def time_filter(spark, d):
 
 
 _GRAMS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_\-]*[\p{L}\p{N}_]') AS w FROM documents),
-i AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM w, (SELECT unnest([1, 2]) AS n)),
+i AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS n)),
 g AS (SELECT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS ngram FROM i),
 c AS (SELECT ngram, CAST(n AS INTEGER) AS n, count(*) AS total, count(DISTINCT doc_id) AS df FROM g GROUP BY ALL),
 d AS (SELECT count(*) AS m FROM documents), q AS (SELECT c.* FROM c, d WHERE df >= greatest(1, least(greatest(5, m // 100), m)) AND df <= 0.9 * m)"""
@@ -506,14 +517,15 @@ d AS (SELECT count(*) AS m FROM documents), q AS (SELECT c.* FROM c, d WHERE df
 @query(_GRAMS + " SELECT ngram, n, total, df FROM q", base=False)
 def ngram_counts(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found, n = themes.ngrams(docs, n=(1, 2)), docs.count()
+    found, n = themes.ngrams(docs), docs.count()
     return found.where((F.col("df") >= themes.min_df(n)) & (F.col("df") <= 0.9 * n))
 
 
-@query(_GRAMS + " SELECT ngram, n, total, df FROM q WHERE n = 1 OR (split_part(ngram, ' ', 1) <> split_part(ngram, ' ', 2) AND split_part(ngram, ' ', 2) <> left(ngram, 1))", base=False)
+@query(_GRAMS + """ SELECT ngram, n, total, df FROM (SELECT *, string_split(ngram, ' ') AS p FROM q) WHERE len(list_distinct(p)) = n
+  AND (n = 1 OR p[n] <> array_to_string(list_transform(p[1:n - 1], lambda x: left(x, 1)), ''))""", base=False)
 def ngram_filters(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return themes.frequent_ngrams(docs, n=(1, 2))
+    return themes.frequent_ngrams(docs)
 
 
 @query()
@@ -522,7 +534,7 @@ def processed_text(spark, d):
     return out.select("doc_id", F.length("processed").alias("n_chars"), F.md5(F.col("processed").cast("binary")).alias("digest"))
 
 
-_DT = ", dt AS (SELECT DISTINCT id, author AS term FROM ap), tt AS (SELECT term, (ascii(right(term, 1)) % 3) AS topic FROM (SELECT DISTINCT term FROM dt WHERE term LIKE '%0_')), rk AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY term) AS rank FROM tt)"
+_DT = ", dt AS (SELECT DISTINCT id, author AS term FROM ap), tt AS (SELECT term, (ascii(right(term, 1)) % 3) AS topic FROM (SELECT DISTINCT term FROM dt)), rk AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY term) AS rank FROM tt)"
 
 
 @query(_DT + """, pr AS (SELECT x.topic, x.term AS x, y.term AS y FROM rk x JOIN rk y ON x.topic = y.topic AND x.rank > y.rank),
@@ -532,7 +544,7 @@ def umass_coherence(spark, d):
     from pyspark.sql import Window
 
     terms = appearances(spark, d).select("id", F.col("author").alias("term")).distinct()
-    topics = terms.select("term").distinct().where("term LIKE '%0_'").withColumn("topic", F.ascii(F.substring("term", -1, 1)) % 3)
+    topics = terms.select("term").distinct().withColumn("topic", F.ascii(F.substring("term", -1, 1)) % 3)
     ranked = topics.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy("term"))).select("topic", "rank", "term")
     return rounded(themes.umass_coherence(ranked, terms), "coherence")
 
@@ -591,15 +603,15 @@ def institution_standardize(spark, d):
 
 @query()
 def lda_topics(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("processed"))
-    rows, words = themes.document_terms(docs, least=5.0, most=0.5)
-    return themes.describe_topics(themes.fit_lda(rows, 3, 5), words, 10)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), themes.processed(F.col("text"), themes.noise_terms()).alias("processed"))
+    rows, words = themes.document_terms(docs)
+    return themes.describe_topics(themes.fit_lda(rows, 3), words)
 
 
 @query()
 def nmf_topics(spark, d):
     terms = articles(spark, d, mncs=False).select("id", F.explode("countries").alias("term")).withColumn("tf", F.lit(1))
-    _, h, _ = themes.fit_nmf(terms, 2, 5)
+    _, h, _ = themes.fit_nmf(terms, 2)
     return h.select("term", (F.array_position("h", F.array_max("h"))).cast("int").alias("topic"))
 
 
