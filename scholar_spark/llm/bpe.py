@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -285,7 +284,6 @@ _SEPARATORS = re.compile("[\x1c-\x1f]").search
 _UNEVEN = re.compile(r"[^\S \n]|  | \n|\n |^ | $").search
 
 
-@lru_cache(maxsize=4)
-def codec(path: str, kind: str) -> Codec:
-    """One codec for a file and a use, kept in the Python worker."""
+def codec(path: str) -> Codec:
+    """A codec for one task: its tables go with the task, so that idle workers don't hold them."""
     return Codec(path)

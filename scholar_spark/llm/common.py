@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -80,8 +82,8 @@ def arrow_map(
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each, rows, held = make(), [], 0
+    def mapped(each, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             names = batch.schema.names
             columns = [batch.column(i) for i in range(batch.num_columns)]
@@ -96,9 +98,23 @@ def arrow_map(
         if rows:
             yield to_batch(rows, arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from mapped(make(), batches)
+        release()
+
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system: idle workers live on beside other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
 def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 

@@ -19,7 +19,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     """
 
     def make():
-        own = codec(tokenizer, "encode")
+        own = codec(tokenizer)
 
         def each(row):
             ids = own.encode(row[text] or "")
@@ -73,7 +73,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, key: str = "
     """
 
     def make():
-        own = codec(tokenizer, "count")
+        own = codec(tokenizer)
 
         def each(row):
             t = row[text] or ""
@@ -92,7 +92,7 @@ def prefix_table(text: str, tokenizer: str) -> list[tuple[int, int]]:
     The count at a prefix is that of the words before it plus the word's own prefix count, so a budget
     or truncation question needs no encoding. Word-end vocabularies have no such table; '' has (0, 0) only.
     """
-    own = codec(tokenizer, "count")
+    own = codec(tokenizer)
     if own.end:
         raise ValueError("a vocabulary with word ends has no count inside a word")
     out, at, n = [(0, 0)], 0, 0
@@ -117,7 +117,7 @@ def add_token_counts(docs: DataFrame, tokenizer: str, limits: tuple[int, ...] =
     added = [free_name(n, names) for n in ("n_tokens", *(f"fit_{k}" for k in limits))]
 
     def make():
-        own = codec(tokenizer, "count")
+        own = codec(tokenizer)
 
         def each(row):
             t = row[text] or ""
