@@ -26,7 +26,7 @@ import numpy as np
 import regex
 
 #: Bounds of the tables in a Python worker; a full table is emptied, which costs time, not exactness.
-MAX_STATES, MAX_PAIRS, MAX_WORDS, LONG_WORD = 120_000, 200_000, 250_000, 40
+MAX_STATES, MAX_PAIRS, MAX_WORDS, LONG_WORD = 60_000, 150_000, 150_000, 40
 START = -1
 
 

@@ -99,7 +99,11 @@ def arrow_map(
             yield to_batch(rows, arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from mapped(make(), batches)
+        release()
+        each = make()
+        release()
+        yield from mapped(each, batches)
+        del each
         release()
 
     return df.mapInArrow(run, schema)
@@ -180,3 +184,5 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(nodes), 65_536):
         part = nodes[i : i + 65_536]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["node", "root"])
+    root.clear()
+    release()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, arrow_map, connected_components, free_name, sent
+from .common import Written, arrow_map, connected_components, free_name, release, sent
 
 WORDS = 5
 #: Similarity as numerator and denominator: link when DEN * intersection >= NUM * union.
@@ -200,6 +200,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
             if len(sets):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(sets)], names=["key", "set"])
+    release()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +259,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.Table.from_batches(ready).combine_chunks().to_batches()[0]
     if held_key is not None and stream_least is None and (done := close(held_key, held)) is not None:
         yield done
+    seen.clear()
+    release()
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text: str) -> Written:
@@ -301,6 +304,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text
                     good.append((a[i], b[i]))
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*good)], names=["a", "b"])
+        release()
 
     found = Written(rows.mapInArrow(check, "a bigint, b bigint"), "links")
     close.drop()
