@@ -26,7 +26,7 @@ import numpy as np
 import regex
 
 #: Bounds of the tables in a Python worker; a full table is emptied, which costs time, not exactness.
-MAX_STATES, MAX_PAIRS, MAX_WORDS, LONG_WORD = 60_000, 150_000, 150_000, 40
+MAX_STATES, MAX_PAIRS, MAX_WORDS, LONG_WORD = 180_000, 450_000, 450_000, 40
 START = -1
 
 
@@ -41,7 +41,8 @@ def byte_alphabet() -> list[str]:
 
 
 class MergeAutomaton:
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = ""):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", tables: float = 1.0):
+        self.most_states, self.most_pairs = int(MAX_STATES * tables), int(MAX_PAIRS * tables)
         self.end = end
         self.rank: dict[int, int] = {}
         made = {u + v for u, v in merges}
@@ -84,7 +85,7 @@ class MergeAutomaton:
         key = x << 32 | y
         found = self.follow.get(key)
         if found is None:
-            if len(self.follow) >= MAX_PAIRS:
+            if len(self.follow) >= self.most_pairs:
                 self.follow.clear()
             found = self.follow[key] = self._open(x, y)
         return found
@@ -109,7 +110,7 @@ class MergeAutomaton:
         key = text[k:], before[k:]
         found = self.known.get(key)
         if found is None:
-            if len(self.known) >= MAX_STATES:  # a word that is being read goes on; its old states fall away
+            if len(self.known) >= self.most_states:  # a word that is being read goes on; its old states fall away
                 self._clear()
             found = self.known[key] = State(self, *key, before[-1], self.size[before[-1]])
         return found
@@ -164,15 +165,15 @@ class State(dict):
 
 
 class Memo(dict):
-    """Values of a function, up to ``MAX_WORDS`` of them for short words."""
+    """Values of a function, up to ``most`` of them for short words."""
 
-    def __init__(self, of):
-        self.of = of
+    def __init__(self, of, most: int):
+        self.of, self.most = of, most
 
     def __missing__(self, word):
         value = self.of(word)
         if len(word) <= LONG_WORD:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = value
         return value
@@ -181,7 +182,7 @@ class Memo(dict):
 class Codec:
     """Reads a ``tokenizers`` JSON file; encodes whole texts as that library does, by the automaton."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tables: float = 1.0):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -190,7 +191,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.names = np.array([names.get(i, "") for i in range(max(names) + 1)], object)
-        self.automaton = MergeAutomaton(model["vocab"], merges, self.end)
+        self.automaton = MergeAutomaton(model["vocab"], merges, self.end, tables)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         pre = spec["pre_tokenizer"]
@@ -201,9 +202,10 @@ class Codec:
         self.spaced = spec["decoder"] is None
         self.bytes = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(self.bytes)}
-        self.word_ids, self.word_count = Memo(self._word_ids), Memo(self._word_count)
+        most = int(MAX_WORDS * tables)
+        self.word_ids, self.word_count = Memo(self._word_ids, most), Memo(self._word_count, most)
         #: What stands between blanks is encoded by itself; words of one text often repeat as a whole.
-        self.chunk_ids, self.chunk_count = Memo(self._chunk_ids), Memo(self._chunk_count)
+        self.chunk_ids, self.chunk_count = Memo(self._chunk_ids, most), Memo(self._chunk_count, most)
 
     def normalize(self, text: str) -> str:
         if "NFC" in self.steps:
@@ -284,6 +286,6 @@ _SEPARATORS = re.compile("[\x1c-\x1f]").search
 _UNEVEN = re.compile(r"[^\S \n]|  | \n|\n |^ | $").search
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, tables: float = 1.0) -> Codec:
     """A codec for one task: its tables go with the task, so that idle workers don't hold them."""
-    return Codec(path)
+    return Codec(path, tables)
