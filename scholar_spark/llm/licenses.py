@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +139,22 @@ class Scanner:
 
 
 def suppress(found: list[tuple[Signature, int, int]]) -> list[tuple[Signature, int, int]]:
-    """Take detections by priority, then length, then place; drop those inside one already taken."""
+    """Take detections by priority, then length, then place; drop those inside one already taken.
+
+    ``starts`` and ``ends`` are the taken intervals that lie in no other one, so both ascend and the last
+    that starts no later reaches furthest: a binary search for each detection.
+    """
     taken: list[tuple[Signature, int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for rule, a, b in sorted(found, key=lambda f: (-f[0].priority, f[1] - f[2], f[1], f[0].name)):
-        if not any(x <= a and b <= y for _, x, y in taken):
-            taken.append((rule, a, b))
+        i = bisect_right(starts, a) - 1
+        if i >= 0 and ends[i] >= b:
+            continue
+        taken.append((rule, a, b))
+        first = bisect_left(starts, a)
+        last = max(first, bisect_right(ends, b))
+        starts[first:last], ends[first:last] = [a], [b]
     return sorted(taken, key=lambda f: (f[1], f[2], f[0].name))
 
 
@@ -149,8 +162,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words and the detections of every whole text of ``docs``.
 
     ``found`` holds structs of rule, label, priority, base, start and end (word numbers from 0, end
-    exclusive) in text order. Base phrases are never suppressed and suppress nothing. A null text has no
-    words and no detections; repeated rows and null keys give a row each.
+    exclusive) in text order. Base phrases are never suppressed and suppress nothing. A null or empty text
+    has no words and no detections; a text of any length is read whole. Repeated rows and null keys give a
+    row each; other columns are not read; an empty table gives an empty result.
     """
 
     def make():
@@ -163,7 +177,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             if hits:
                 base = [h for h in hits if h[0].base]
                 kept = base + suppress([h for h in hits if not h[0].base])
-                places = [(line.count(b" ", 0, a), line.count(b" ", 0, b), r) for r, a, b in kept]
+                blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+                at = np.searchsorted(blanks, [(a, b) for _, a, b in kept]).tolist()
+                places = [(a, b, r) for (a, b), (r, _, _) in zip(at, kept)]
                 hits = [
                     {"rule": r.name, "label": r.label, "priority": r.priority, "base": r.base, "start": a, "end": b}
                     for a, b, r in sorted(places, key=lambda p: (p[0], p[1], p[2].name))

@@ -290,3 +290,15 @@ def test_pipeline_takes_odd_tables(spark, tmp_path):
     kept = sorted((str(r["doc_id"]), len(r["text"].split())) for r in one)
     # of the copies of `same` the row with the null key stays, of those of `near` the one with the smaller id
     assert kept == [("3", 202), ("None", 60), ("None", 60)]
+
+
+def test_license_suppression_equals_all_pairs():
+    rng = random.Random(1)
+    rules = [licenses.Signature(f"r{i}", "l", rng.choice((30, 40, 60, 90)), b"k", re.compile(b"x")) for i in range(20)]
+    for _ in range(500):
+        found = [(rng.choice(rules), a, a + rng.randint(1, 12)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 25)))]
+        taken = []
+        for rule, a, b in sorted(found, key=lambda f: (-f[0].priority, f[1] - f[2], f[1], f[0].name)):
+            if not any(x <= a and b <= y for _, x, y in taken):
+                taken.append((rule, a, b))
+        assert licenses.suppress(found) == sorted(taken, key=lambda f: (f[1], f[2], f[0].name))
