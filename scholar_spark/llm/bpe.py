@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -286,6 +287,7 @@ _SEPARATORS = re.compile("[\x1c-\x1f]").search
 _UNEVEN = re.compile(r"[^\S \n]|  | \n|\n |^ | $").search
 
 
+@lru_cache(maxsize=2)
 def codec(path: str, tables: float = 1.0) -> Codec:
-    """A codec for one task: its tables go with the task, so that idle workers don't hold them."""
+    """A codec that a worker keeps between tasks."""
     return Codec(path, tables)

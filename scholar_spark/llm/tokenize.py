@@ -9,18 +9,18 @@ from .bpe import Codec, codec
 from .common import arrow_map, free_name
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", tables: float = 1.0) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", tables: float = 1.0, keep: bool = True) -> DataFrame:
     """Encode and decode every whole text with the vocabulary file ``tokenizer``.
 
     Returns one row per input row: the key, n_tokens, token_ids (little-endian unsigned 32-bit integers
     as binary) and decoded (the ids' arc labels, special tokens included). A null text is empty: no
     tokens, decoded ''. A text of any length is read whole, in memory linear in its size. Repeated rows and
     null keys give a row each; other columns are not read; an empty table gives an empty result.
-    ``tables`` scales the worker's tables, which costs time or memory, not exactness.
+    ``tables`` scales the worker's tables and ``keep`` holds them between tasks: time or memory, not exactness.
     """
 
     def make():
-        own = codec(tokenizer, tables)
+        own = codec(tokenizer, tables) if keep else Codec(tokenizer, tables)
 
         def each(row):
             ids = own.encode(row[text] or "")
@@ -55,7 +55,8 @@ def fit_bytes(own: Codec, text: str, budget: int) -> int:
                 return at
             at, n = at + len(str(own.names[special]).encode("utf-8")), n + 1
             continue
-        for word in own.words(part):
+        for found in own.split.finditer(part):  # no further than the budget
+            word = found.group()
             more = own.word_count[word]
             if n + more > budget:
                 counts = own.automaton.prefix_counts(own.spell(word))
