@@ -3,8 +3,9 @@
 The standard library's parser sends events; they are gathered into lines (blocks of text) with the number
 of tags and of link characters in each, and the element each line stands in. Text-to-tag ratios along the
 page are smoothed with a Gaussian and parted into content and the rest by a threshold from two clusters.
-The region is the element that holds the lines of the content cluster; inside it every line counts, short
-ones too, except those in parts that are marked as something else (menus, notices, adverts, comments ...).
+The regions are the articles that hold the lines of the content cluster, or the smallest element that holds
+nearly all of them; inside a region every line counts, short ones too, except those in parts that are marked
+as something else (menus, notices, adverts, comments ...). A form is no such part if the article stands in it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -21,115 +23,165 @@ from .common import arrow_map
 BLOCKS = set(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table
-    tbody td tfoot th thead tr ul""".split()
+    tbody td tfoot th thead tr ul head""".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never an article's.
+#: Elements whose text is never an article's; those that are no blocks don't part the block they stand in.
 SKIPPED = set(
-    """head title script style noscript template nav menu aside form button select option textarea input label iframe object svg
-    math canvas audio video dialog""".split()
+    """head title script style noscript template nav menu aside button select option textarea iframe object svg annotation
+    annotation-xml canvas audio video dialog search""".split()
 )
 #: Elements that may be a region by themselves.
-REGIONS = set("body html article main section div td center".split())
-#: What class, id or role name for parts outside the article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|adbox|adslot|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|"
-    r"side|rail|widget\w*|header|masthead|topbar|footer|foot|bottom|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|share|sharing|social|related|recommend\w*|more|popular|trending|comments?|commentlist|disqus|replies|reply|"
-    r"respond|discussion|pagination|pager|tags?|toc|hidden|skip|print|copyright|legal|disclaimer|search\w*|contentinfo|complementary|"
-    r"paywall|teaser|toolbar|author-bio|byline-links)(?:$|[\s_-])",
-    re.I,
+REGIONS = set("body html article main section div td center form".split())
+#: Words of class, id and role names for parts outside the article, wherever they stand in a name.
+MARKS = set(
+    """ad ads adsense adbox adslot adsbygoogle advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos
+    promoted promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar widget widgets masthead topbar footer cookie
+    cookies consent gdpr popup modal newsletter subscribe signup login share sharing sharebar social related recommend recommended
+    recommendations comment comments commentlist disqus replies respond pagination pager contentinfo complementary paywall teaser
+    toolbar searchbox searchform""".split()
 )
+#: Words that mark a part too, unless the element has a name for content.
+WEAK = set(
+    """side rail header foot bottom notice notices alert overlay more popular trending reply discussion tag tags toc hidden skip
+    print copyright legal disclaimer search""".split()
+)
+CONTENT = set("content main article body entry post story text page".split())
+#: Words that begin the names of an article that is none, and first words of names that tell how a page looks.
+OTHERS = set("ad ads advert advertisement comment comments promo promoted related reply replies sponsored teaser".split())
+LOOKS = set("has no with without is js not".split())
+WORDS = re.compile(r"[a-z0-9]+").findall
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Headings, which belong to the region that follows them.
 HEADINGS = {"h1", "h2"}
 #: Elements that a new block of the same kind ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SIGMA = 1.0
+#: An element is the region by itself, or an article another region, with this share of the content cluster or of the best article.
+ALONE, NEARLY, BESIDE = 0.3, 0.9, 0.2
+
+
+def marked(tag: str, attrs: list, headed: bool) -> bool:
+    """Whether names mark an element as a part outside the article; ``headed``: it stands in an article or main."""
+    if tag in ("header", "footer"):
+        return tag == "footer" or not headed
+    if tag in ("main", "body", "html", "h1"):
+        return False
+    said = dict(attrs)
+    names = [WORDS(n.lower()) for k in ("class", "id", "role") for n in (said.get(k) or "").split()]
+    names = [n for n in names if n and n[0] not in LOOKS]
+    if tag == "article":
+        return any(n[0] in OTHERS for n in names)
+    words = {w for n in names for w in n}
+    return not MARKS.isdisjoint(words) or not WEAK.isdisjoint(words) and CONTENT.isdisjoint(words)
+
+
+def hidden(attrs: list) -> bool:
+    said = dict(attrs)
+    return "hidden" in said or bool(HIDDEN.search(said.get("style") or ""))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "skipped", "seeds", "open")
+    """An element that begins blocks, or one inside a block whose text goes (``inline``); its lines are start to end.
 
-    def __init__(self, tag, parent, skipped):
-        self.tag, self.parent, self.skipped, self.seeds = tag, parent, skipped, 0
+    ``skipped``: its text is not read. ``marked``: its text goes unless the article turns out to stand in it.
+    """
+
+    __slots__ = ("tag", "parent", "skipped", "marked", "inline", "headed", "start", "end")
+
+    def __init__(self, tag, parent, skipped, marked, inline, start):
+        self.tag, self.parent, self.skipped, self.marked, self.inline = tag, parent, skipped, marked, inline
+        self.headed = parent is not None and parent.headed or tag in ("article", "main")
+        self.start, self.end = start, None
 
 
 class Lines(HTMLParser):
-    """Gathers (text, tags, link characters, node, heading) for each block, from parser events."""
+    """Gathers (text, tags, link characters, node) for each block, and the elements, from parser events."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.node = Node("html", None, False)
-        self.done: list[tuple[str, int, int, Node, bool]] = []
+        self.node = Node("html", None, False, False, False, 0)
+        self.nodes = [self.node]
+        self.done: list[tuple[str, int, int, Node]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.done.append((text, self.tags, self.linked, self.node, self.node.tag in HEADINGS))
+            home = self.node
+            while home.inline:
+                home = home.parent
+            self.done.append((text, self.tags, self.linked, home))
         self.parts, self.tags, self.linked = [], 0, 0
 
+    def finish(self):
+        self.close()
+        self.flush()
+        self._leave(None)
+
+    def _enter(self, tag, skipped, marked, inline):
+        self.node = Node(tag, self.node, skipped or self.node.skipped, marked, inline, len(self.done))
+        self.nodes.append(self.node)
+
+    def _leave(self, outer):
+        while self.node is not outer:
+            self.node.end = len(self.done)
+            self.node = self.node.parent
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "a":
             self.links += 1
-        if tag in BLOCKS or tag in SKIPPED and tag not in VOID:
+        if tag in BLOCKS:
             self.flush()
             if tag == "hr":
                 return
             self._imply(tag)
-            if tag in ("html", "body") and self.node.tag in ("html", "body") and self.node.tag == tag:
+            if tag in ("html", "body") and self.node.tag == tag:
                 return
-            skipped = self.node.skipped or tag in SKIPPED or self._marked(tag, attrs)
-            self.node = Node(tag, self.node, skipped)
+            gone = hidden(attrs) or dict(attrs).get("aria-hidden") == "true"
+            self._enter(tag, tag in SKIPPED or gone, tag == "form" or marked(tag, attrs, self.node.headed), False)
         elif tag == "br":
             self.parts.append(" ")
+        elif tag in VOID:
+            return
+        elif tag in SKIPPED or self.node.inline and tag == self.node.tag or hidden(attrs) or tag == "label" and "for" in dict(attrs):
+            self._enter(tag, True, False, True)
+        elif tag in ("ins", "span") and attrs and any(w in OTHERS or w == "adsbygoogle" for w in WORDS((dict(attrs).get("class") or "").lower())[:1]):
+            self._enter(tag, True, False, True)
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID or tag not in BLOCKS and tag not in SKIPPED:
-            self.tags += 1
-            if tag == "br":
-                self.parts.append(" ")
-        else:
-            self.handle_starttag(tag, attrs)
-            if tag not in ("script", "style"):
-                self.handle_endtag(tag)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and (tag in SKIPPED or tag in BLOCKS) and tag not in ("script", "style"):
+            self.handle_endtag(tag)
 
     def _imply(self, tag):
-        """End what the new block ends by the rules of HTML: a paragraph by any block, an item by the next."""
-        closes = CLOSES.get(tag, set()) | {"p"} | ({"head", "title"} if tag == "body" else set())
-        if self.node.tag in HEADINGS and tag in BLOCKS and tag not in ("li",):
+        """End what the new block ends by the rules of HTML: a paragraph or the head by any block, an item by the next."""
+        closes = CLOSES.get(tag, set()) | {"p", "head", "title"}
+        if self.node.tag in HEADINGS and tag != "li":
             return
         while self.node.tag in closes and self.node.parent is not None:
-            self.node = self.node.parent
-
-    @staticmethod
-    def _marked(tag, attrs):
-        said = dict(attrs)
-        if "hidden" in said or said.get("aria-hidden") == "true" or HIDDEN.search(said.get("style") or ""):
-            return True
-        if tag in ("footer", "header"):
-            return True
-        if tag in ("article", "main", "body", "html", "p", "h1"):
-            return False
-        names = " ".join(filter(None, (said.get("class"), said.get("id"), said.get("role"))))
-        return bool(names and MARKED.search(names))
+            self._leave(self.node.parent)
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag in BLOCKS or tag in SKIPPED:
-            at = self.node
+        at = self.node
+        if tag in BLOCKS:
             while at is not None and at.tag != tag:
                 at = at.parent
             if at is not None and at.parent is not None:
                 self.flush()
-                self.node = at.parent
+                self._leave(at.parent)
             elif tag == "p":
                 self.flush()
+            return
+        while at.inline and at.tag != tag:
+            at = at.parent
+        if at.inline:
+            self._leave(at.parent)
 
     def handle_data(self, data):
         if not self.node.skipped:
@@ -173,68 +225,80 @@ def main_text(html: str | None) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser.finish()
+    _clear(parser)
     lines = [x for x in parser.done if not x[3].skipped]
     if not lines:
         return ""
-    ratio = [max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, _ in lines]
-    level = smoothed(ratio)
+    level = smoothed([max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _ in lines])
     cut = threshold(level)
-    seeds = [v >= cut for v in level]
-    mass = 0
-    for (text, _, linked, node, _), seed in zip(lines, seeds):
-        if seed:
-            own = max(1, len(text) - linked)
-            mass += own
-            while node is not None:
-                node.seeds += own
-                node = node.parent
-    region = _region(lines, mass)
+    seeds = {id(x): max(1, len(x[0]) - x[2]) for x, v in zip(lines, level) if v >= cut}
+    mass = list(accumulate((seeds.get(id(x), 0) for x in parser.done), initial=0))
+    heads = list(accumulate((not x[3].skipped and x[3].tag in HEADINGS for x in parser.done), initial=0))
+    regions = _regions([n for n in parser.nodes if not n.skipped], mass, heads)
     kept = []
-    for text, tags, linked, node, heading in lines:
-        at = node
-        while at is not None and at is not region:
-            at = at.parent
-        if at is region and (region.tag in ("article", "main") or heading or 2 * linked <= len(text)):
-            kept.append(text)
-    return "\n".join(kept)
-
-
-def _region(lines, mass) -> Node:
-    """The article, or the smallest element, with nearly all of the content cluster."""
-    nodes: dict[int, Node] = {}
-    for *_, node, _ in lines:
-        while node is not None and id(node) not in nodes:
-            nodes[id(node)] = node
-            node = node.parent
-    articles = [n for n in nodes.values() if n.tag in ("article", "main") and n.seeds > 0]
-    best = max((n for n in articles if n.tag == "article"), key=lambda n: n.seeds, default=None)
-    if best is None or best.seeds < 0.3 * mass:
-        best = max(articles, key=lambda n: n.seeds, default=best)
-    if best is not None and best.seeds >= 0.3 * mass:
-        return best
-    root = next(n for n in nodes.values() if n.parent is None)
-    while True:
-        inner = [n for n in nodes.values() if n.seeds >= 0.9 * mass and n.tag in REGIONS and _parent_region(n) is root]
-        if len(inner) != 1 or any(h and not _inside(n, inner[0]) and _inside(n, root) for *_, n, h in lines):
-            return root
-        root = inner[0]
-
-
-def _parent_region(node: Node) -> Node | None:
-    node = node.parent
-    while node is not None and node.parent is not None and node.tag not in REGIONS:
-        node = node.parent
-    return node
-
-
-def _inside(node: Node | None, other: Node) -> bool:
-    while node is not None:
-        if node is other:
-            return True
+    for i, (text, tags, linked, node) in enumerate(parser.done):
+        region = next((r for r in regions if r.start <= i < r.end), None)
+        if region and not node.skipped and (region.tag in ("article", "main") or node.tag in HEADINGS or 2 * linked <= len(text)):
+            kept.append((i, text))
+    title = _title(parser.done, regions[0]) if regions[0].tag in ("article", "main") else None
+    return "\n".join(([title] if title else []) + [text for _, text in kept])
+
+
+def _clear(parser: Lines) -> None:
+    """Settle which marked elements are parts outside the article: not those around main, nor a form around the article."""
+    size = list(accumulate((len(x[0]) - x[2] for x in parser.done), initial=0))
+    plain = list(accumulate((x[3].tag == "p" for x in parser.done), initial=0))
+    mains = [n for n in parser.nodes if n.tag == "main" and n.start < n.end and not n.skipped]
+    articles = mains + [n for n in parser.nodes if n.tag in ("article", "h1") and n.start < n.end and not n.skipped]
+    around = {id(n) for x in mains for n in _outer(x)}
+    forms = {id(n) for x in articles for n in _outer(x) if n.tag == "form"}
+    for node in parser.nodes:  # outer elements come first
+        if node.marked and node.tag == "form":
+            most = 2 * (size[node.end] - size[node.start]) >= size[-1] and plain[node.end] > plain[node.start]
+            node.marked = not (most or id(node) in forms)
+        elif node.marked and id(node) in around:
+            node.marked = False
+        node.skipped = node.skipped or node.marked or node.parent is not None and node.parent.skipped
+
+
+def _outer(node: Node):
+    while node.parent is not None:
         node = node.parent
-    return False
+        yield node
+
+
+def _regions(nodes: list[Node], mass: list[int], heads: list[int]) -> list[Node]:
+    """The articles, or the smallest element, with nearly all of the content cluster; in page order."""
+
+    def own(node):
+        return mass[node.end] - mass[node.start]
+
+    articles, inside = [], 0
+    for node in nodes:
+        if node.tag == "article" and node.start >= inside and own(node):
+            articles.append(node)
+            inside = node.end
+    best = max(articles, key=own, default=None)
+    if best is not None and own(best) >= ALONE * mass[-1]:
+        return [n for n in articles if own(n) >= BESIDE * own(best)]
+    best = max((n for n in nodes if n.tag == "main" and own(n)), key=own, default=best)
+    if best is not None and own(best) >= ALONE * mass[-1]:
+        return [best]
+    root = nodes[0]
+    for node in nodes[1:]:  # those with nearly all of the cluster lie in one another
+        if node.tag in REGIONS and own(node) >= NEARLY * mass[-1]:
+            if heads[node.end] - heads[node.start] < heads[root.end] - heads[root.start]:
+                break
+            root = node
+    return [root]
+
+
+def _title(lines: list, region: Node) -> str | None:
+    """The title that stands before a region without one."""
+    if any(node.tag == "h1" for *_, node in lines[region.start : region.end]):
+        return None
+    return next((text for text, _, linked, node in reversed(lines[: region.start]) if node.tag == "h1" and not node.skipped and 2 * linked <= len(text)), None)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

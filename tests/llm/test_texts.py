@@ -137,6 +137,9 @@ PAGES = [
     ("<div id=menu><a href=x>a</a> <a href=y>b</a></div><div class=content><h1>T</h1><div class=body><p>Long text that goes on for quite a while to be the main text of it all.<div class='ad'>Buy</div><ul><li>one<li>two</ul></div></div><div class=comments><p>a reader says a lot of things here at length</div>", "T\nLong text that goes on for quite a while to be the main text of it all.\none\ntwo"),
     ("<p>only &copy; this</p><script>var a='</p>';</script><form><input>send</form>", "only © this"),
     ("", ""), (None, ""), ("<html></html>", ""), ("plain text", "plain text"),
+    ("<body><form action=x><div><h1>T</h1><p>A page of one form, as some servers make them, is an article too.</div><label for=q>Find</label><input id=q></form>", "T\nA page of one form, as some servers make them, is an article too."),
+    ("<head><title>T</title><p>A head without an end, then a paragraph <script>x</script>that goes on.", "A head without an end, then a paragraph that goes on."),
+    ("<main><h1>T</h1><article><p>Text of the article, which has its title before it.</article><section id=comments><article><p>A reader's words.</article></section></main>", "T\nText of the article, which has its title before it."),
 ]
 
 
@@ -149,6 +152,42 @@ def test_html_extraction(spark):
     assert html.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_of_generated_pages():
+    """Articles of known text in many kinds of page."""
+    rng = random.Random(3)
+
+    def words(least, most):
+        return " ".join(rng.choice("the of and tree river stone cloud walking under a light in old house".split()) for _ in range(rng.randint(least, most)))
+
+    def paragraph():
+        kind, a, b = rng.randint(0, 4), words(3, 40), words(1, 9)
+        inline = [f"{a} {b}", f"{a} <b>{b}</b>", f"{a}<br>{b}", f"{a} <label>{b}</label>", f"{a} <script>var x = '{b}</p>';</script>{b}"]
+        return inline[kind], f"{a} {b}"
+
+    wraps = [
+        "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='content'>{}</div>", "<form method=post>{}</form>",
+        "<div id='read-more-content' class='main'>{}</div>", "<div class='page has-sidebar'><div class='post-body'>{}</div></div>", "<table><tr><td>{}</td></tr></table>",
+        "<form><div class='modal'><main>{}</main></div></form>",
+    ]
+    parts = [
+        "<div class='ad'>{}</div>", "<p class='advert'>{}</p>", "<div class='cookie-notice'>{}</div>", "<aside>{}</aside>", "<section class='comments'><p>{}</p></section>",
+        "<nav>{}</nav>", "<footer>{}</footer>", "<div style='display: none'>{}</div>", "<style>{}</style>", "<noscript><p>{}</p></noscript>", "<ins class=adsbygoogle>{}</ins>",
+    ]
+    for n in range(300):
+        title, wrap = words(2, 8), wraps[n % len(wraps)]
+        blocks = [paragraph() for _ in range(rng.randint(3, 12))]
+        head = f"<h1>{title}</h1>"
+        inner = f"<header>{head}</header>" if "article" in wrap and n % 2 else head
+        for raw, _ in blocks:
+            inner += f"<p>{raw}</p>" + (rng.choice(parts).format(words(1, 9)) if rng.random() < 0.3 else "")
+        page = f"<html><head><title>{title}</title></head><body><header><a href=/>{words(1, 3)}</a></header>{rng.choice(parts).format(words(2, 9))}{wrap.format(inner)}"
+        page += f"{rng.choice(parts).format(words(2, 9))}<form><label>{words(1, 2)} <input></label><button>{words(1, 1)}</button></form></body></html>"
+        assert html.main_text(page) == "\n".join([title, *[text for _, text in blocks]]), page
+    two = "<main><article><p>{0}</p></article><article><p>{0}</p></article></main>".format(words(30, 30))
+    assert html.main_text(two).count("\n") == 1
+    assert html.main_text("<div>" * 20000 + "deep") == "deep"
+
+
 def test_html_of_long_pages():
     body = "".join(f"<p>Paragraph {i} has a few words &amp; a <a href=x>link</a>.</p>" for i in range(3000))
     text = html.main_text(f"<body><div class=sidebar>{'<a href=q>x</a>' * 500}</div><article>{body}</article></body>")
