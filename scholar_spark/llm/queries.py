@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import CHAT_SQL, chat_query
 from .common import read_table
 from .decontaminate import find_leaks
+from .fingerprints import compare_edits
 from .html import extract_pages
 from .jaccard import link_documents
 from .language import fit_network, identify_languages
@@ -61,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(read_table(spark, sf_dir, "embeddings"))
 
