@@ -8,6 +8,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def arrow_map(
                 row = {n: c[i].as_py() for n, c in zip(names, columns)}
                 for out in each(row):
                     rows.append(out)
-                    held += 64 + sum(len(x) for x in out if isinstance(x, (str, bytes, list)))
+                    held += 64 + sum(8 * len(x) if isinstance(x, np.ndarray) else len(x) for x in out if isinstance(x, (str, bytes, list, np.ndarray)))
                     if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
                         yield to_batch(rows, arrow)
                         rows, held = [], 0
