@@ -6,7 +6,7 @@ codebook. For a part v and an entry e cut into blocks of m components,
     |v - e|^2  >=  sum over blocks of  m (mean v - mean e)^2 + (|rest v| - |rest e|)^2
 
 where rest is what remains of a block without its mean. One block comes first, then finer ones; an entry
-falls out once its bound exceeds the exact distance to the entry of the least first bound. What survives gets
+falls out once its bound exceeds the exact distance to the entry of a level's least bound. What survives gets
 exact integer distances, so the result is that of a search through all entries.
 
 Assignment runs in tasks over Arrow batches. A task adds up what it assigned and hands over one sum for each
@@ -28,31 +28,33 @@ from .common import Written, sent
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Vectors whose bounds are taken at once: rows x entries doubles.
-CHUNK = 2048
+CHUNK = 512
 
 
 class Codebook:
-    """The entries of one part position, with their block sums and residual norms for each level."""
+    """The entries of one part position, with the points that their bounds are taken from at each level."""
 
     def __init__(self, entries: np.ndarray):
         self.entries, (self.n, self.m) = entries, entries.shape
-        self.levels = [np.linspace(0, self.m, b + 1).astype(int)[:-1] for b in (1, 4, 16) if b <= self.m]
-        self.shapes = [self.shape(entries, starts) for starts in self.levels]
+        blocks = sorted({1, min(4, self.m), (self.m + 1) // 2})
+        self.levels = [np.linspace(0, self.m, b + 1).astype(int)[:-1] for b in blocks if b]
+        self.points = [self.point(entries, starts) for starts in self.levels]
         self.norm = float((entries.astype(float) ** 2).sum(1).max(initial=0))
 
-    def shape(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Block sums over the root of the block's size, and norms of what remains, whose radicand is an exact integer."""
+    def point(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The blocks' means times the root of their size, then the norms of what remains (its square is exact
+        before it is divided): squared distances of such points are the bounds."""
         size = np.diff(np.append(starts, self.m))
         sums = np.add.reduceat(x, starts, axis=1)
         rest = np.add.reduceat(x * x, starts, axis=1) * size - sums * sums
-        return sums / np.sqrt(size), np.sqrt(rest / size)
+        return np.hstack([sums / np.sqrt(size), np.sqrt(rest / size)])
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ``x`` the index of its nearest entry (the lowest of equals) and the squared distance."""
         if not self.m:  # parts without components are all alike
             return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        least = 2 * (int(np.abs(x).max(initial=0)) + int(np.abs(self.entries).max(initial=0)))
-        if least * least * self.m * self.m >= 1 << 62:
+        reach = 2 * (int(np.abs(x).max(initial=0)) + int(np.abs(self.entries).max(initial=0)))
+        if reach * reach * self.m * self.m >= 1 << 62:
             raise OverflowError("components are too large for exact squared distances in 64 bits")
         index, error = [], []
         for i in range(0, len(x), CHUNK):
@@ -62,35 +64,34 @@ class Codebook:
         return np.concatenate(index), np.concatenate(error)
 
     def _nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        (mean, rest), (means, rests) = self.shape(x, self.levels[0]), self.shapes[0]
-        bound = (mean - means.T) ** 2 + (rest - rests.T) ** 2
-        first = bound.argmin(1)
-        limit = ((x - self.entries[first]) ** 2).sum(1).astype(float)
-        # rounding moves a bound by some units in the last place of the squared norms
-        limit += 1e-9 * limit + 1e-12 * ((x.astype(float) ** 2).sum(1) + self.norm)
-        row, entry = np.nonzero(bound <= limit[:, None])
-        for starts, (means, rests) in zip(self.levels[1:], self.shapes[1:]):
-            mean, rest = self.shape(x, starts)
-            finer = ((mean[row] - means[entry]) ** 2).sum(1) + ((rest[row] - rests[entry]) ** 2).sum(1)
-            near = finer <= limit[row]
-            row, entry = row[near], entry[near]
+        every = np.arange(len(x))
+        norm = (x.astype(float) ** 2).sum(1)
+        slack = 1e-9 * (norm + self.norm)  # far more than rounding moves a bound
+        limit, alive = np.full(len(x), np.inf), np.ones((len(x), self.n), bool)
+        for starts, points in zip(self.levels, self.points):
+            own = self.point(x, starts)
+            bound = (points**2).sum(1) - 2 * own @ points.T
+            bound += (own**2).sum(1)[:, None]
+            first = np.where(alive, bound, np.inf).argmin(1)
+            limit = np.minimum(limit, ((x - self.entries[first]) ** 2).sum(1))
+            alive &= bound <= (limit + slack)[:, None]
+        row, entry = np.nonzero(alive)
         exact = ((x[row] - self.entries[entry]) ** 2).sum(1)
-        begins = np.searchsorted(row, np.arange(len(x)))
-        error = np.minimum.reduceat(exact, begins)
+        error = np.minimum.reduceat(exact, np.searchsorted(row, every))
         best = np.flatnonzero(exact == error[row])
-        return entry[best[np.searchsorted(row[best], np.arange(len(x)))]], error
+        return entry[best[np.searchsorted(row[best], every)]], error
 
 
-def _assign(books: list[np.ndarray], batch: pa.RecordBatch):
+def _assign(books: list[Codebook], batch: pa.RecordBatch):
     """The batch's vectors as integers in parts, with the index and the distance of each part's entry."""
     column = batch.column(batch.schema.get_field_index("v"))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     whole = np.floor(SCALE * flat)
     if np.abs(whole).max(initial=0) >= 1 << 31:
         raise OverflowError("components are too large for exact squared distances in 64 bits")
-    parts = whole.astype(np.int64).reshape(batch.num_rows, len(books), books[0].shape[1])
-    for p, entries in enumerate(books):
-        yield parts[:, p], *Codebook(entries).nearest(parts[:, p])
+    parts = whole.astype(np.int64).reshape(batch.num_rows, len(books), books[0].m)
+    for p, book in enumerate(books):
+        yield parts[:, p], *book.nearest(parts[:, p])
 
 
 def _sums(books: list[np.ndarray]):
@@ -98,11 +99,14 @@ def _sums(books: list[np.ndarray]):
     n, m = books[0].shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(books), n, m + 1), np.int64)
+        total, own = np.zeros((len(books), n, m + 1), np.int64), [Codebook(b) for b in books]
         for batch in batches:
             if batch.num_rows:
-                for p, (x, index, _) in enumerate(_assign(books, batch)):
-                    np.add.at(total[p], index, np.column_stack([x, np.ones(len(x), np.int64)]))
+                for p, (x, index, _) in enumerate(_assign(own, batch)):
+                    order = np.argsort(index, kind="stable")
+                    used, begins, number = np.unique(index[order], return_index=True, return_counts=True)
+                    total[p, used, :m] += np.add.reduceat(x[order], begins)
+                    total[p, used, m] += number
         used = np.flatnonzero(np.repeat(total[:, :, m].ravel() > 0, m + 1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total.ravel()[used])], names=["slot", "total"])
 
@@ -186,9 +190,10 @@ def _smallest(most: int):
 
 def _coder(books: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [Codebook(b) for b in books]
         for batch in batches:
             if batch.num_rows:
-                found = list(_assign(books, batch))
+                found = list(_assign(own, batch))
                 index = np.stack([i for _, i, _ in found], 1).astype(np.uint8)
                 code = pa.array([x.tobytes().hex() for x in index], pa.string())
                 error = pa.array(sum(e for _, _, e in found), pa.int64())
