@@ -2,19 +2,15 @@
 
 The ends of A's and of B's tokens, united and sorted, cut a text into elementary intervals; searching both
 arrays of ends for an interval's end gives the A token and the B token that own it: one overlap. Ends that
-both share close a group, and the A tokens of a group link with all of its B tokens.
-
-Both tokenizers part a text before a blank that follows something other than white space: what stands
-between such places (a chunk, mostly a blank and a word) is encoded by itself, and no group crosses them. A
-worker keeps what it found out about short chunks; a text is put together from them.
+both share close a group, and the A tokens of a group link with all of its B tokens: the product of a group
+is expanded over arrays, of large groups over their distinct ids with how often each stands there.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,9 +19,10 @@ from pyspark.sql import functions as F
 from .bpe import byte_alphabet
 from .common import SENT_ROWS, Written, arrow_map
 
-#: Chunks a worker keeps (those of at most so many characters); a full table is emptied.
-MAX_CHUNKS, LONG_CHUNK = 150_000, 60
-_CUT = re.compile(r"(?<=\S)(?= )").split
+#: Links of a group up to which they are written out one by one.
+SMALL_GROUP = 1024
+#: The split of byte-level vocabularies, fixed by their format.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>").fullmatch
 
 
@@ -33,23 +30,28 @@ class ByteBPE:
     """A byte-level ``tokenizers`` file, special strings taken as text."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
-        self.own.no_padding()
-        self.own.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         at = {c: b for b, c in enumerate(byte_alphabet())}
-        n = self.own.get_vocab_size()
-        self.bytes = [bytes(at[c] for c in t) if all(c in at for c in t) else t.encode() for t in map(self.own.id_to_token, range(n))]
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(at[c] for c in t): i for t, i in vocab.items() if t not in special}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" ", 1))] for m in merges]
+        if made != sorted(made) or spec["model"].get("end_of_word_suffix") or spec["normalizer"]:
+            raise ValueError("not a plain byte-level vocabulary whose ids follow the order of its merges")
+        self.own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in ranks.items():
+            self.bytes[i] = t
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.own.encode_ordinary(" " + text)
 
 
 class PieceBPE:
-    """A ``sentencepiece`` file that adds a blank before a text; here texts bring their first blank along."""
+    """A ``sentencepiece`` file that puts a blank before a text."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -57,94 +59,76 @@ class PieceBPE:
         self.own = SentencePieceProcessor(model_file=path)
         pieces = [self.own.id_to_piece(i) for i in range(self.own.get_piece_size())]
         self.bytes = [bytes([int(b.group(1), 16)]) if (b := _BYTE(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.blank = [self.own.piece_to_id("▁")]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        ids = self.own.encode([t[1:] for t in texts], num_threads=1)
-        return [i if len(t) > 1 else self.blank for i, t in zip(ids, texts)]  # the library has nothing for ''
+    def encode(self, text: str) -> list[int]:
+        return self.own.encode(text)
 
 
 def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, ...]:
     """(A owner, B owner, group) of every elementary interval of two ascending arrays of ends with a common last."""
     ends = np.union1d(ends_a, ends_b)
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), np.searchsorted(shared, ends)
-
-
-class Found:
-    """A chunk's numbers, written groups, and linked pairs (A id << 32 | B id) with how often each is linked."""
-
-    __slots__ = ("n", "written", "keys", "times")
-
-    def __init__(self, n: tuple[int, int, int, int, int], written: str, pairs: Counter):
-        self.n, self.written = n, written
-        self.keys = np.fromiter(pairs.keys(), np.int64, len(pairs)).tobytes()
-        self.times = np.fromiter(pairs.values(), np.int64, len(pairs)).tobytes()
+    owner_a, owner_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    shared = (ends_a[owner_a] == ends) & (ends_b[owner_b] == ends)
+    return owner_a, owner_b, np.cumsum(shared) - shared
+
+
+class Alignment:
+    """The groups of one text: each has the A tokens from a start to the next, and so for B."""
+
+    def __init__(self, ids_a: np.ndarray, ids_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray):
+        self.ids_a, self.ids_b = ids_a, ids_b
+        owner_a, owner_b, group = groups(np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b]))
+        self.overlaps, first = len(group), np.flatnonzero(np.diff(group, prepend=-1))
+        self.start_a, self.start_b = np.append(owner_a[first], len(ids_a)), np.append(owner_b[first], len(ids_b))
+        self.many_a, self.many_b = np.diff(self.start_a), np.diff(self.start_b)
+        self.links = self.many_a * self.many_b
+
+    def written(self, labels: list[str]) -> str:
+        """``a1,a2|b1;a3|b2,b3``; ``labels`` are the ids with a comma, then with a bar, then with a semicolon."""
+        n, out = len(labels) // 3, np.empty(len(self.ids_a) + len(self.ids_b), np.int64)
+        place_a = np.arange(len(self.ids_a)) + np.repeat(self.start_b[:-1], self.many_a)
+        place_b = np.arange(len(self.ids_b)) + np.repeat(self.start_a[1:], self.many_b)
+        out[place_a], out[place_b] = self.ids_a, self.ids_b
+        out[place_a[self.start_a[1:] - 1]] += n
+        out[place_b[self.start_b[1:] - 1]] += 2 * n
+        return "".join(map(labels.__getitem__, out.tolist()))[:-1]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(A id << 32 | B id, links) of the distinct linked pairs, in order."""
+        small = np.flatnonzero(self.links <= SMALL_GROUP)
+        many = self.links[small]
+        g = np.repeat(small, many)
+        k = np.arange(len(g)) - np.repeat(np.cumsum(many) - many, many)
+        keys = self.ids_a[self.start_a[g] + k // self.many_b[g]] << 32 | self.ids_b[self.start_b[g] + k % self.many_b[g]]
+        keys, times = np.unique(keys, return_counts=True)
+        parts = [(keys, times)]
+        for g in np.flatnonzero(self.links > SMALL_GROUP).tolist():
+            a, times_a = np.unique(self.ids_a[self.start_a[g] : self.start_a[g + 1]], return_counts=True)
+            b, times_b = np.unique(self.ids_b[self.start_b[g] : self.start_b[g + 1]], return_counts=True)
+            parts.append(((a[:, None] << 32 | b).ravel(), np.outer(times_a, times_b).ravel()))
+        if len(parts) == 1:
+            return keys, times
+        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, np.concatenate([t for _, t in parts]))
+        return keys, total
 
 
 class Aligner:
     def __init__(self, a: ByteBPE, b: PieceBPE):
         self.a, self.b = a, b
         self.size_a, self.size_b = (np.array([len(t) for t in x.bytes]) for x in (a, b))
-        self.known: dict[str, Found | None] = {}
-
-    def look(self, chunks: list[str]) -> dict[str, Found | None]:
-        """What is found out about chunks, all at once; None where the tokens' bytes aren't the chunk's."""
-        coded = []
-        out: dict[str, Found | None] = dict.fromkeys(chunks)
-        for chunk, a, b in zip(chunks, self.a.encode(chunks), self.b.encode(chunks)):
-            raw = chunk.encode("utf-8")
-            if b"".join(map(self.a.bytes.__getitem__, a)) == raw == b"".join(map(self.b.bytes.__getitem__, b)):
-                coded.append((chunk, a, b))
-        if not coded:
-            return out
-        ids_a, ids_b = (np.concatenate([np.array(x[k], np.int64) for x in coded]) for k in (1, 2))
-        owner_a, owner_b, group = groups(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]))
-        # an owner's tokens of a group follow one another: a group's tokens are from its first to its last owner
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        starts_a, starts_b = (np.append(o[first], len(i)).tolist() for o, i in ((owner_a, ids_a), (owner_b, ids_b)))
-        cuts, ids_a, ids_b = first.tolist(), ids_a.tolist(), ids_b.tolist()
-        g, at_a = 0, 0
-        for chunk, a, b in coded:
-            at_a, begin, written, pairs, links = at_a + len(a), g, [], Counter(), 0
-            while g < len(cuts) and starts_a[g] < at_a:
-                left, right = ids_a[starts_a[g] : starts_a[g + 1]], ids_b[starts_b[g] : starts_b[g + 1]]
-                written.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                links += len(left) * len(right)
-                ours, theirs = Counter(left), Counter(right)
-                for x, k in ours.items():
-                    for y, m in theirs.items():
-                        pairs[x << 32 | y] += k * m
-                g += 1
-            overlaps = (cuts[g] if g < len(cuts) else len(group)) - cuts[begin]
-            out[chunk] = Found((len(a), len(b), g - begin, links, overlaps), ";".join(written), pairs)
-        return out
-
-    def align(self, text: str):
-        """(numbers, written groups, pair keys, their links) of a text, or None if it has no tokens."""
+        n = max(len(a.bytes), len(b.bytes))
+        self.labels = [f"{i}{c}" for c in ",|;" for i in range(n)]
+
+    def align(self, text: str) -> Alignment | None:
+        """The alignment of a text; None where it is empty or the tokens' bytes aren't those of a blank and the text."""
         if not text:
             return None
-        parts = _CUT(" " + text)
-        times = Counter(parts)
-        new = [c for c in times if c not in self.known]
-        here = self.look(new) if new else {}
-        of = {c: here[c] if c in here else self.known[c] for c in times}
-        if new:
-            if len(self.known) + len(new) > MAX_CHUNKS:
-                self.known.clear()
-            self.known.update((c, f) for c, f in here.items() if len(c) <= LONG_CHUNK)
-        if None in of.values():
+        a, b, raw = self.a.encode(text), self.b.encode(text), (" " + text).encode("utf-8")
+        if b"".join(map(self.a.bytes.__getitem__, a)) != raw or b"".join(map(self.b.bytes.__getitem__, b)) != raw:
             return None
-        n = np.zeros(5, np.int64)
-        for c, k in times.items():
-            n += np.array(of[c].n) * k
-        keys = np.frombuffer(b"".join([of[c].keys for c in times]), np.int64)
-        links = np.frombuffer(b"".join([of[c].times for c in times]), np.int64)
-        links = links * np.repeat(list(times.values()), [len(of[c].keys) // 8 for c in times])
-        pairs, at = np.unique(keys, return_inverse=True)
-        total = np.zeros(len(pairs), np.int64)
-        np.add.at(total, at, links)
-        return n.tolist(), ";".join([of[c].written for c in parts]), pairs, total
+        return Alignment(np.array(a, np.int64), np.array(b, np.int64), self.size_a, self.size_b)
 
 
 def align_tokens(docs: DataFrame, byte_bpe: str, piece_bpe: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,8 +153,10 @@ def _aligned(docs: DataFrame, byte_bpe: str, piece_bpe: str, key: str, text: str
             if found is None:
                 yield row[key], 0, 0, 0, 0, 0, "", [], [], []
             else:
-                n, written, pairs, links = found
+                written = found.written(own.labels)
                 written = written if last == "groups" else hashlib.sha256(written.encode()).hexdigest()
+                pairs, links = found.pairs()
+                n = len(found.ids_a), len(found.ids_b), len(found.links), int(found.links.sum()), found.overlaps
                 yield row[key], *n, written, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), links
 
         return each

@@ -102,15 +102,23 @@ def test_statistics_equal_brute_force(spark, most):
     assert result(align.link_statistics(df, BYTE, PIECE, most=most)) == brute(rows)
 
 
-def test_full_tables_are_emptied(spark, monkeypatch):
-    monkeypatch.setattr(align, "MAX_CHUNKS", 5)
+@pytest.mark.parametrize("small", [1024, 1, 0])
+def test_alignments_equal_a_walk_over_bytes(monkeypatch, small):
+    monkeypatch.setattr(align, "SMALL_GROUP", small)
     own, plain = align.Aligner(align.ByteBPE(BYTE), align.PieceBPE(PIECE)), Plain()
     for t in texts():
         found, g = own.align(t), plain.groups(t)
         assert (found is None) == (not g)
         if found:
-            assert found[1] == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in g)
-        assert len(own.known) <= 5 + 100
+            assert found.written(own.labels) == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in g)
+            links = Counter((x << 32 | y) for left, right in g for x in left for y in right)
+            keys, times = found.pairs()
+            assert dict(zip(keys.tolist(), times.tolist())) == links and keys.tolist() == sorted(links)
+
+
+def test_other_vocabularies_are_an_error():
+    with pytest.raises(ValueError):
+        align.ByteBPE(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_odd_tables(spark):
