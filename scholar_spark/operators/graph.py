@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholar_spark.operators import communities as communities_
 from scholar_spark.operators.metrics import zero
 
-MAX_BETWEENNESS, MAX_COMMUNITY_EDGES = 1_000, 250_000
+MAX_BETWEENNESS = 1_000
 
 
 def pair_edges(articles: DataFrame, items: str, most: int | None = None) -> DataFrame:
@@ -185,12 +186,9 @@ def louvain(edges: list[tuple]) -> dict:
 
 
 def communities(edges: DataFrame) -> DataFrame:
-    """node, community by Louvain on the driver; an error beyond ``MAX_COMMUNITY_EDGES`` edges."""
-    few = edges.limit(MAX_COMMUNITY_EDGES + 1).collect()
-    if len(few) > MAX_COMMUNITY_EDGES:
-        raise ValueError(f"communities of more than {MAX_COMMUNITY_EDGES:,} edges: take a smaller scope or stronger ties")
-    found = louvain(sorted((r["src"], r["dst"], float(r["weight"])) for r in few)) if few else {}
-    return edges.sparkSession.createDataFrame(sorted(found.items()), "node string, community int")
+    """node, community (0 the largest) by the Louvain method, in rounds over tables."""
+    found = communities_.partitions(edges.withColumn("g", F.lit(0)))
+    return communities_.ranked(found).select("node", "community")
 
 
 def community_tables(edges: DataFrame, members: DataFrame, productivity: DataFrame) -> tuple[DataFrame, DataFrame]:

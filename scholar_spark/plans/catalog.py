@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholar_spark.functions import text as X
-from scholar_spark.operators import entities, geo, graph, linkage, metrics, themes
+from scholar_spark.operators import centrality, communities, entities, geo, graph, linkage, metrics, themes, validation
 
 AS_OF = 2002
 #: Names for the 25 nations: 15 of the EU, 10 others.
@@ -95,11 +95,11 @@ _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, base: bool = True):
+def query(sql: str | None = None, base: bool = True, recursive: bool = False):
     def add(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = (BASE if base else "") + sql
+            _SQL[f.__name__] = (BASE.replace("WITH", "WITH RECURSIVE", 1) if recursive else BASE if base else "") + sql
 
         @wraps(f)
         def same(*a):
@@ -406,6 +406,84 @@ def louvain(spark, d):
     return graph.communities(graph.pair_edges(articles(spark, d, mncs=False), "countries"))
 
 
+def network(spark, d, most=None):
+    """The author network as graph 0."""
+    return graph.pair_edges(articles(spark, d, mncs=False), "authors", most).withColumn("g", F.lit(0).cast("long"))
+
+
+@query()
+def author_communities(spark, d):
+    edges = network(spark, d)
+    found = communities.partitions(edges)
+    return communities.ranked(found).join(F.broadcast(communities.modularity(edges, found)), "g").select("node", "community", F.round("modularity", 6).alias("modularity"))
+
+
+#: The two strongest ties of each author: a thin network of several components.
+_THIN = _IPAIRS + """, r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS r FROM m),
+  thin AS (SELECT node AS src, other AS dst FROM r WHERE r <= {k} UNION SELECT other, node FROM r WHERE r <= {k})"""
+
+
+def thin_network(spark, d, k):
+    return graph.top_ties(network(spark, d), k).withColumn("g", F.lit(0).cast("long"))
+
+
+@query(_THIN.replace("{k}", "1") + """, walk AS (SELECT src AS node, src AS reach FROM thin UNION SELECT walk.node, dst FROM walk JOIN thin ON reach = src),
+  c AS (SELECT node, min(reach) AS component FROM walk GROUP BY node), s AS (SELECT component, count(*) AS size FROM c GROUP BY 1)
+  SELECT component, size, row_number() OVER (ORDER BY size DESC, component) AS rank FROM s""", recursive=True)
+def network_components(spark, d):
+    return communities.component_sizes(communities.components(thin_network(spark, d, 1))).drop("g")
+
+
+@query(_THIN.replace("{k}", "2") + """, far AS (SELECT DISTINCT src AS node, src AS reach, 0 AS step FROM thin UNION SELECT node, dst, step + 1 FROM far JOIN thin ON reach = src WHERE step < 20),
+  near AS (SELECT node, reach, min(step) AS step FROM far GROUP BY ALL) SELECT node, round(CASE WHEN sum(step) > 0 THEN (count(*) - 1) / sum(step) * (count(*) - 1) / ((SELECT count(DISTINCT src) FROM thin) - 1) ELSE 0 END, 6) AS closeness
+  FROM near GROUP BY node""", recursive=True)
+def network_closeness(spark, d):
+    return rounded(centrality.closeness(thin_network(spark, d, 2)).drop("g"), "closeness")
+
+
+@query()
+def network_eigenvector(spark, d):
+    return rounded(centrality.eigenvector(network(spark, d)).drop("g"), "eigenvector")
+
+
+@query(_IPAIRS + " SELECT g, node, count(*) AS degree FROM m, (SELECT unnest(range(3)) AS g) GROUP BY ALL")
+def null_degrees(spark, d):
+    pairs = validation.stubs(network(spark, d).drop("g"), 3)
+    return pairs.select("g", F.explode(F.array("src", "dst")).alias("node")).groupBy("g", "node").agg(F.count("*").alias("degree"))
+
+
+@query(_IPAIRS + """, f AS (SELECT src, dst, CAST('0x' || substr(md5(src || '|' || dst || '|42'), 1, 8) AS BIGINT) % 5 AS fold FROM e), k AS (SELECT unnest(range(5)) AS f),
+  x AS (SELECT f, node, count(*) AS n FROM (SELECT f, src AS node FROM f, k WHERE fold <> f UNION ALL SELECT f, dst FROM f, k WHERE fold <> f) GROUP BY ALL),
+  t AS (SELECT f, count(*) AS nodes FROM x GROUP BY f), v AS (SELECT k.f, node, coalesce(n, 0) / (nodes - 1) AS d FROM k JOIN t ON t.f = k.f CROSS JOIN (SELECT DISTINCT node FROM m) LEFT JOIN x USING (f, node)),
+  r AS (SELECT a.f AS i, b.f AS j, corr(a.d, b.d) AS r FROM v a JOIN v b ON a.node = b.node AND a.f < b.f GROUP BY ALL) SELECT 'degree' AS measure, round(avg(r), 6) AS correlation, count(r) AS pairs FROM r""")
+def fold_degree_correlation(spark, d):
+    own = network(spark, d)
+    folds = centrality.degree(validation.fold_graphs(own))
+    nodes = graph.mirrored(own).select("node").distinct().withColumn("g", F.explode(F.expr("sequence(0L, 4L)")))
+    values = nodes.join(folds, ["g", "node"], "left").select(F.col("g").cast("int").alias("f"), "node", F.coalesce("degree", F.lit(0.0)).alias("degree"))
+    return rounded(validation.fold_correlations(values, ("degree",)), "correlation")
+
+
+#: Labels that the digits of a name give for each of five folds.
+_FOLDS = """, p AS (SELECT DISTINCT country AS node FROM ap), f AS (SELECT unnest(range(5)) AS f), l AS (SELECT node, f, 'c' || ((ascii(node) + length(node) * f) % 3) AS community FROM p, f)"""
+
+
+@query(_FOLDS + """, j AS (SELECT a.f AS i, b.f AS j, a.community AS x, b.community AS y, count(*) / (SELECT count(*) FROM p) AS p FROM l a JOIN l b ON a.node = b.node AND a.f < b.f GROUP BY ALL),
+  px AS (SELECT i, j, x, sum(p) AS px FROM j GROUP BY ALL), py AS (SELECT i, j, y, sum(p) AS py FROM j GROUP BY ALL), hx AS (SELECT i, j, -sum(px * ln(px)) AS hx FROM px GROUP BY ALL), hy AS (SELECT i, j, -sum(py * ln(py)) AS hy FROM py GROUP BY ALL)
+  SELECT i, j, round(greatest(0, sum(p * ln(p / (px * py))) / ((any_value(hx) + any_value(hy)) / 2)), 6) AS nmi FROM j JOIN px USING (i, j, x) JOIN py USING (i, j, y) JOIN hx USING (i, j) JOIN hy USING (i, j) GROUP BY ALL""")
+def fold_agreement(spark, d):
+    nodes = appearances(spark, d).select(F.col("country").alias("node")).distinct().withColumn("g", F.explode(F.expr("sequence(0L, 4L)")))
+    labels = nodes.withColumn("community", F.concat(F.lit("c"), (F.ascii("node") + F.length("node") * F.col("g")) % 3))
+    return rounded(validation.fold_agreement(labels), "nmi").drop("g")
+
+
+@query()
+def community_validation(spark, d):
+    edges = graph.pair_edges(articles(spark, d, mncs=False), "countries")
+    report = validation.validate_communities(edges, iterations=2, folds=3)["report"]
+    return rounded(report, *[n for n, kind in report.dtypes if kind == "double"])
+
+
 @query(""", p AS (SELECT DISTINCT country AS node, length(country) % 3 AS x, ascii(country) % 2 AS y FROM ap), j AS (SELECT x, y, count(*) / (SELECT count(*) FROM p) AS p FROM p GROUP BY ALL),
   px AS (SELECT x, sum(p) AS px FROM j GROUP BY x), py AS (SELECT y, sum(p) AS py FROM j GROUP BY y) SELECT round((SELECT sum(p * ln(p / (px * py))) FROM j JOIN px USING (x) JOIN py USING (y))
   / ((-(SELECT sum(px * ln(px)) FROM px) - (SELECT sum(py * ln(py)) FROM py)) / 2), 6) AS nmi""")

@@ -314,10 +314,3 @@ def test_summary_leaves_out_documents_without_authors(spark):
     df = art(spark, [(1, 2020, 1.0, "s", ["a", "b"], []), (2, 2021, 2.0, "s", [], [])])
     row = metrics.final_summary(df, 2024).first()
     assert row["authors_per_document"] == 2.0 and row["authors"] == 2 and row["growth_pct"] == pytest.approx(0)
-
-
-def test_communities_of_a_large_network_are_an_error(spark, monkeypatch):
-    monkeypatch.setattr(graph, "MAX_COMMUNITY_EDGES", 1)
-    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1)], "src string, dst string, weight int")
-    with pytest.raises(ValueError):
-        graph.communities(edges)
