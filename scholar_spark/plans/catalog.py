@@ -454,7 +454,7 @@ def null_degrees(spark, d):
 
 @query(_IPAIRS + """, f AS (SELECT src, dst, CAST('0x' || substr(md5(src || '|' || dst || '|42'), 1, 8) AS BIGINT) % 5 AS fold FROM e), k AS (SELECT unnest(range(5)) AS f),
   x AS (SELECT f, node, count(*) AS n FROM (SELECT f, src AS node FROM f, k WHERE fold <> f UNION ALL SELECT f, dst FROM f, k WHERE fold <> f) GROUP BY ALL),
-  t AS (SELECT f, count(*) AS nodes FROM x GROUP BY f), v AS (SELECT k.f, node, coalesce(n, 0) / (nodes - 1) AS d FROM k JOIN t ON t.f = k.f CROSS JOIN (SELECT DISTINCT node FROM m) LEFT JOIN x USING (f, node)),
+  t AS (SELECT f, count(*) AS nodes FROM x GROUP BY f), v AS (SELECT f, node, coalesce(n, 0) / (nodes - 1) AS d FROM (SELECT f, nodes, node FROM k JOIN t USING (f) CROSS JOIN (SELECT DISTINCT node FROM m)) LEFT JOIN x USING (f, node)),
   r AS (SELECT a.f AS i, b.f AS j, corr(a.d, b.d) AS r FROM v a JOIN v b ON a.node = b.node AND a.f < b.f GROUP BY ALL) SELECT 'degree' AS measure, round(avg(r), 6) AS correlation, count(r) AS pairs FROM r""")
 def fold_degree_correlation(spark, d):
     own = network(spark, d)
