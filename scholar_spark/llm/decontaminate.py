@@ -8,6 +8,11 @@ and different values of one kind to different values. Slots that break this reje
 (``strict``), or leave the cover, and what is left must still be long enough; the query and the pipeline
 do the latter, so that one changed value in a near-verbatim copy does not hide it.
 
+Placeholders alone are no evidence, or an item of one number would be found in every document with a number.
+A window with fewer than ``PLAIN`` plain words joins by the values of its slots instead (and not at all, if the
+item is shorter than a window); a hit has ``PLAIN`` plain words, or as many tokens that stand there unchanged as
+a window has.
+
 The benchmark is sent to the executors in blocks of bounded size; each block is held against all texts
 in one pass without a shuffle of the texts.
 """
@@ -27,6 +32,8 @@ from .common import Written, arrow_map, free_name, sent
 WINDOW = 8
 #: A hit covers this share of the item's template tokens, or this many tokens in a row.
 SHARE, RUN = 0.5, 13
+#: Words that are no slots which a window or a hit must hold, unless it is verbatim.
+PLAIN = 3
 #: Most characters of benchmark text in a block, and most items.
 BLOCK_CHARS, BLOCK_ITEMS = 8_000_000, 20_000
 MAX_CHUNKS = 300_000
@@ -62,18 +69,19 @@ class Chunks(dict):
     def clear_all(self) -> None:
         self.clear()
         self.n, size = 0, 1 << 16
-        self.hash, self.kind = np.zeros(size, np.uint64), np.zeros(size, np.uint8)
+        self.hash, self.kind, self.value = np.zeros(size, np.uint64), np.zeros(size, np.uint8), np.zeros(size, np.uint64)
         self.named, self.ends, self.unit = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, bool)
 
     def __missing__(self, chunk: str) -> int:
         if self.n == len(self.hash):
-            for name in ("hash", "kind", "named", "ends", "unit"):
+            for name in ("hash", "kind", "value", "named", "ends", "unit"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         i = self[chunk] = self.n
         self.n += 1
         plain = chunk.strip(MARKS).lower()
         bare = BARE.sub("", plain)
+        self.value[i] = _hash(plain)
         self.ends[i] = ENDS(chunk) is not None
         if NUMBER.fullmatch(plain):
             self.kind[i], self.hash[i] = NUM, P_NUM
@@ -87,8 +95,8 @@ class Chunks(dict):
         return i
 
 
-def template(text: str, chunks: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(template tokens, kind of slot or 0, place of each token among the chunks, chunks) of a whole text."""
+def template(text: str, chunks: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(template tokens, kind of slot or 0, place of each token among the chunks, chunks, tokens as they stand) of a whole text."""
     if chunks.n > MAX_CHUNKS:
         chunks.clear_all()
     own, first = [], []
@@ -96,7 +104,7 @@ def template(text: str, chunks: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndar
         first.append(len(own))
         own += line.split()
     if not own:
-        return np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int64), own
+        return np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int64), own, np.empty(0, np.uint64)
     ids = np.fromiter(map(chunks.__getitem__, own), np.int64, len(own))
     tokens, kind = chunks.hash[ids], chunks.kind[ids]
     starts = np.r_[True, chunks.ends[ids][:-1]]
@@ -107,7 +115,7 @@ def template(text: str, chunks: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndar
     slot[chunks.unit[ids] & np.r_[False, kind[:-1] == NUM]] = 3
     tokens[slot == 2], tokens[slot == 3] = P_NAME, P_UNIT
     at = np.flatnonzero(kind != OTHER)
-    return tokens[at], slot[at], at, own
+    return tokens[at], slot[at], at, own, np.where(slot > 0, chunks.value[ids], tokens)[at]
 
 
 def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
@@ -120,6 +128,17 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def seed_hashes(tokens: np.ndarray, slot: np.ndarray, verbatim: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether it has enough plain words) of each window: of its template, or else of what stands there."""
+    if len(tokens) < n:
+        return np.empty(0, np.uint64), np.empty(0, bool)
+    words = np.cumsum(np.r_[0, slot == 0])
+    plain = words[n:] - words[:-n] >= PLAIN
+    if plain.all():
+        return window_hashes(tokens, n), plain
+    return np.where(plain, window_hashes(tokens, n), ~window_hashes(verbatim, n)), plain
+
+
 def _value(chunk: str) -> str:
     return chunk.strip(MARKS).lower()
 
@@ -145,15 +164,18 @@ class Index:
     """The windows of a block of benchmark items, by hash; items shorter than a window are one window."""
 
     def __init__(self, items: list[tuple[int, str]], window: int):
+        self.window = window
         chunks, self.items, by = Chunks(), [], defaultdict(list)
         for item, text in items:
-            tokens, slot, at, own = template(text or "", chunks)
+            tokens, slot, at, own, verbatim = template(text or "", chunks)
             if not len(tokens):
                 continue
             n = min(window, len(tokens))
-            for place, h in enumerate(window_hashes(tokens, n).tolist()):
-                by[n].append((h, len(self.items), place))
-            if chunks.named[chunks[own[at[0]]]]:  # an item quoted inside a sentence begins with what looks like a name
+            hashes, plain = seed_hashes(tokens, slot, verbatim, n)
+            for place, h in enumerate(hashes.tolist()):
+                if plain[place] or n == window:
+                    by[n].append((h, len(self.items), place))
+            if plain[0] and chunks.named[chunks[own[at[0]]]]:  # an item quoted inside a sentence begins with what looks like a name
                 by[n].append((int(window_hashes(np.r_[P_NAME, tokens[1:n]], n)[0]), len(self.items), 0))
             self.items.append((item, len(tokens), slot, [_value(own[i]) for i in at.tolist()]))
         self.by = {}
@@ -166,10 +188,10 @@ class Index:
 
     def hits(self, text: str, chunks: Chunks, share: float, run: int, strict: bool = True):
         """(item, tokens covered, tokens of the item, slots, changed slots, longest run) for each diagonal that holds the item."""
-        tokens, slot, at, own = template(text, chunks)
+        tokens, slot, at, own, verbatim = template(text, chunks)
         found = defaultdict(lambda: defaultdict(list))
         for n, (known, item, place, seen) in self.by.items():
-            h = window_hashes(tokens, n)
+            h, _ = seed_hashes(tokens, slot, verbatim, n)
             maybe = np.flatnonzero(seen[(h & np.uint64(0xFFFF)).astype(np.int64)])
             lo, hi = np.searchsorted(known, h[maybe], "left"), np.searchsorted(known, h[maybe], "right")
             for j in np.flatnonzero(hi > lo).tolist():
@@ -193,6 +215,8 @@ class Index:
                 if cover.sum() < share * size and longest < run:
                     continue
                 changed = sum(mine != other for k, (mine, other) in pairs.items() if cover[k])
+                if (cover & (slots == 0)).sum() < PLAIN and cover.sum() - changed < self.window:
+                    continue
                 yield name, int(cover.sum()), size, len(pairs) - len(wrong), changed, longest
 
 
@@ -207,7 +231,8 @@ def find_leaks(
     another value: a re-parameterised question), longest_run. The best diagonal of a pair counts (most
     tokens, then fewest changed slots). A hit covers at least ``share`` of the item, or ``run`` tokens in
     a row. Null or empty texts and items hit nothing; items repeated under one id count as one id; an
-    empty benchmark or table gives an empty result; texts of any length are read whole; other columns are not read. Rows that repeat a key give one row for each item.
+    empty benchmark or table gives an empty result; texts of any length are read whole; other columns are not read. An item of
+    fewer than ``PLAIN`` plain words that is shorter than a window (`5`, `Yes.`, `42 km`) hits nothing. Rows that repeat a key give one row for each item.
     """
     spark = docs.sparkSession
     items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()

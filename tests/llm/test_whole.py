@@ -1,5 +1,6 @@
 """Cases that earlier versions of the operators cut."""
 
+import random
 from math import comb
 
 from scholar_spark.llm import decontaminate, jaccard, queries
@@ -43,3 +44,51 @@ def test_inconsistent_slots_do_not_count():
     index, chunks = decontaminate.Index([(1, "so " + item)], 8), decontaminate.Chunks()
     assert list(index.hits("so " + item, chunks, 0.5, 13, strict=False))
     assert not list(index.hits("so Berta 1 Clara 2 Dora 4 Emma 5 or", chunks, 0.5, 13, strict=False))
+
+
+def test_short_items_are_no_evidence(spark):
+    """Items of one or two tokens hit nothing; runs of numbers hit where they stand verbatim."""
+    run = " ".join(str(i * 7919 % 1000) for i in range(60))
+    items = [(1, "5"), (2, "Yes."), (3, "42 km"), (4, "Anna 42 km"), (5, run), (6, "What is the tallest tower"), (7, "3 4 5 6")]
+    docs = [
+        (1, "There are 5 of them and Yes. It was 42 km from here, said Anna 42 km away, 3 4 5 6"), (2, " ".join(str(i) for i in range(32_000))), (3, f"so {run} it is"),
+        (4, "he asked what is the tallest tower here"), (5, "5"), (6, "Yes."), (7, "42 km"), (8, "what is the tallest"),
+    ]
+    leaks = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), strict=False)
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == {(3, 5), (4, 6)}
+
+
+def consistent(item, text):
+    """Most tokens of ``item`` that the same words of ``text`` cover at one place, by trying all one-to-one mappings of values."""
+    from itertools import permutations
+
+    best = 0
+    v, w = item.split(), text.split()
+    slots = [x for x in dict.fromkeys(v) if x.isdigit()]
+    for shift in range(len(w) - len(v) + 1):
+        own = w[shift : shift + len(v)]
+        if any(a.isdigit() != b.isdigit() or not a.isdigit() and a != b for a, b in zip(v, own)):
+            continue
+        there = list(dict.fromkeys(b for b in own if b.isdigit()))
+        there += [None] * max(0, len(slots) - len(there))
+        for values in permutations(there, len(slots)):
+            of = dict(zip(slots, values))
+            best = max(best, sum(a == b if not a.isdigit() else of[a] == b for a, b in zip(v, own)))
+    return best
+
+
+def test_slot_consistency_equals_trying_all_mappings():
+    rng, chunks = random.Random(6), decontaminate.Chunks()
+    seen = set()
+    for _ in range(300):
+        item = " ".join(rng.choice(["red", "of", "big", "tree", "1", "2", "3"]) if i else "red of big tree was" for i in range(8))
+        swap = {a: rng.choice("123456") for a in "123"}
+        text = "x " + " ".join(rng.choice("123456") if a.isdigit() and rng.random() < 0.2 else swap.get(a, a) for a in item.split()) + " y"
+        index = decontaminate.Index([(1, item)], 8)
+        want, n = consistent(item, text), len(item.split())
+        hits = list(index.hits(text, chunks, 0.5, 13, strict=True))
+        assert bool(hits) == (want == n)  # all slots agree under one mapping
+        loose = list(index.hits(text, chunks, 0.5, 13, strict=False))
+        assert loose and max(h[1] for h in loose) <= want
+        seen.add(want == n)
+    assert seen == {True, False}
