@@ -5,7 +5,8 @@ of tags and of link characters in each, and the element each line stands in. Tex
 page are smoothed with a Gaussian and parted into content and the rest by a threshold from two clusters.
 The regions are the articles that hold the lines of the content cluster, or the smallest element that holds
 nearly all of them; inside a region every line counts, short ones too, except those in parts that are marked
-as something else (menus, notices, adverts, comments ...). A form is no such part if the article stands in it.
+as something else (menus, notices, adverts, comments ...). No part is marked if the article stands in it, and a
+name of a marking word and a strange one (``social-science``) marks only what lies outside the content cluster.
 """
 
 from __future__ import annotations
@@ -47,6 +48,16 @@ WEAK = set(
     print copyright legal disclaimer search""".split()
 )
 CONTENT = set("content main article body entry post story text page".split())
+#: Words that may stand beside a marking word in a name without changing what it says.
+BESIDES = set(
+    """a an and the in of for to by on top left right main site page primary secondary first last inner outer upper lower big small large
+    list lists item items link links box boxes button buttons btn bar bars wrap wrapper container content contents section sections area areas
+    block blocks slot slots unit units row rows col column columns panel panels group groups icon icons media network networks post
+    posts article articles story stories text title titles label header heading head body bottom foot footer form forms field input thread
+    count counter meta info law message msg notice notices alert policy settings mobile desktop global local sub super full wide mini sticky
+    fixed floating float inline module component view region zone placement image img logo mid mpu leaderboard skyscraper square rail
+    tools tool card cards feed grid html template v1 v2 up us this author authors user users reader readers wp js new old""".split()
+)
 #: Words that begin the names of an article that is none, and first words of names that tell how a page looks.
 OTHERS = set("ad ads advert advertisement comment comments promo promoted related reply replies sponsored teaser".split())
 LOOKS = set("has no with without is js not".split())
@@ -59,21 +70,33 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SIGMA = 1.0
 #: An element is the region by itself, or an article another region, with this share of the content cluster or of the best article.
 ALONE, NEARLY, BESIDE = 0.3, 0.9, 0.2
+#: Characters of a doubtful part that count as text of the article.
+READS = 50
+
 
+def marked(tag: str, attrs: list, headed: bool) -> int:
+    """Whether names mark an element as a part outside the article: 2 surely, 1 if the content cluster doesn't hold it.
 
-def marked(tag: str, attrs: list, headed: bool) -> bool:
-    """Whether names mark an element as a part outside the article; ``headed``: it stands in an article or main."""
+    ``headed``: the element stands in an article or main.
+    """
     if tag in ("header", "footer"):
-        return tag == "footer" or not headed
+        return 2 * (tag == "footer" or not headed)
     if tag in ("main", "body", "html", "h1"):
-        return False
+        return 0
     said = dict(attrs)
     names = [WORDS(n.lower()) for k in ("class", "id", "role") for n in (said.get(k) or "").split()]
     names = [n for n in names if n and n[0] not in LOOKS]
     if tag == "article":
-        return any(n[0] in OTHERS for n in names)
-    words = {w for n in names for w in n}
-    return not MARKS.isdisjoint(words) or not WEAK.isdisjoint(words) and CONTENT.isdisjoint(words)
+        return 2 * any(n[0] in OTHERS for n in names)
+    marks = MARKS if any(w in CONTENT for n in names for w in n) else MARKS | WEAK
+    return max((_says(n, marks) for n in names), default=0)
+
+
+def _says(name: list[str], marks: set[str]) -> int:
+    """2 for a name of marking words alone or beside plain ones, 1 with a strange word, 0 without a marking word."""
+    if marks.isdisjoint(name):
+        return 0
+    return 1 + all(w in marks or w in MARKS or w in BESIDES or w.isdigit() for w in name)
 
 
 def hidden(attrs: list) -> bool:
@@ -84,7 +107,8 @@ def hidden(attrs: list) -> bool:
 class Node:
     """An element that begins blocks, or one inside a block whose text goes (``inline``); its lines are start to end.
 
-    ``skipped``: its text is not read. ``marked``: its text goes unless the article turns out to stand in it.
+    ``skipped``: its text is not read. ``marked``: its text goes unless the article turns out to stand in it, or,
+    of doubtful names (1), unless it is of the content cluster.
     """
 
     __slots__ = ("tag", "parent", "skipped", "marked", "inline", "headed", "start", "end")
@@ -100,7 +124,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.node = Node("html", None, False, False, False, 0)
+        self.node = Node("html", None, False, 0, False, 0)
         self.nodes = [self.node]
         self.done: list[tuple[str, int, int, Node]] = []
         self.parts: list[str] = []
@@ -141,15 +165,15 @@ class Lines(HTMLParser):
             if tag in ("html", "body") and self.node.tag == tag:
                 return
             gone = hidden(attrs) or dict(attrs).get("aria-hidden") == "true"
-            self._enter(tag, tag in SKIPPED or gone, tag == "form" or marked(tag, attrs, self.node.headed), False)
+            self._enter(tag, tag in SKIPPED or gone, 2 if tag == "form" else marked(tag, attrs, self.node.headed), False)
         elif tag == "br":
             self.parts.append(" ")
         elif tag in VOID:
             return
         elif tag in SKIPPED or self.node.inline and tag == self.node.tag or hidden(attrs) or tag == "label" and "for" in dict(attrs):
-            self._enter(tag, True, False, True)
+            self._enter(tag, True, 0, True)
         elif tag in ("ins", "span") and attrs and any(w in OTHERS or w == "adsbygoogle" for w in WORDS((dict(attrs).get("class") or "").lower())[:1]):
-            self._enter(tag, True, False, True)
+            self._enter(tag, True, 0, True)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -227,12 +251,11 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.finish()
     _clear(parser)
-    lines = [x for x in parser.done if not x[3].skipped]
-    if not lines:
+    seeds = _seeds(parser)
+    if _doubtful(parser, seeds):  # with what went, the page is another one
+        seeds = _seeds(parser)
+    if not seeds:
         return ""
-    level = smoothed([max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _ in lines])
-    cut = threshold(level)
-    seeds = {id(x): max(1, len(x[0]) - x[2]) for x, v in zip(lines, level) if v >= cut}
     mass = list(accumulate((seeds.get(id(x), 0) for x in parser.done), initial=0))
     heads = list(accumulate((not x[3].skipped and x[3].tag in HEADINGS for x in parser.done), initial=0))
     regions = _regions([n for n in parser.nodes if not n.skipped], mass, heads)
@@ -245,6 +268,35 @@ def main_text(html: str | None) -> str:
     return "\n".join(([title] if title else []) + [text for _, text in kept])
 
 
+def _seeds(parser: Lines) -> dict[int, int]:
+    """id of each line of the content cluster -> its characters outside links."""
+    lines = [x for x in parser.done if not x[3].skipped]
+    if not lines:
+        return {}
+    level = smoothed([max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _ in lines])
+    cut = threshold(level)
+    return {id(x): max(1, len(x[0]) - x[2]) for x, v in zip(lines, level) if v >= cut}
+
+
+def _doubtful(parser: Lines, seeds: dict[int, int]) -> bool:
+    """Skip the parts of doubtful names of which the content cluster holds less than half, unless they read like
+    text (``READS`` characters outside links, three times as many as in links); whether there were any."""
+    doubtful = [n for n in parser.nodes if n.marked == 1 and not n.skipped]
+    if not doubtful:
+        return False
+    size = list(accumulate((len(x[0]) - x[2] for x in parser.done), initial=0))
+    mass = list(accumulate((seeds.get(id(x), 0) for x in parser.done), initial=0))
+    whole = list(accumulate((len(x[0]) for x in parser.done), initial=0))
+    text = lambda n: (size[n.end] - size[n.start], whole[n.end] - whole[n.start])
+    reads = lambda plain, every: plain >= READS and 4 * plain >= 3 * every
+    gone = [n for n in doubtful if 2 * (mass[n.end] - mass[n.start]) < max(1, text(n)[0]) and not reads(*text(n))]
+    for node in gone:
+        node.skipped = True
+    for node in parser.nodes if gone else ():
+        node.skipped = node.skipped or node.parent is not None and node.parent.skipped
+    return bool(gone)
+
+
 def _clear(parser: Lines) -> None:
     """Settle which marked elements are parts outside the article: not those around main, nor a form around the article."""
     size = list(accumulate((len(x[0]) - x[2] for x in parser.done), initial=0))
@@ -252,14 +304,17 @@ def _clear(parser: Lines) -> None:
     mains = [n for n in parser.nodes if n.tag == "main" and n.start < n.end and not n.skipped]
     articles = mains + [n for n in parser.nodes if n.tag in ("article", "h1") and n.start < n.end and not n.skipped]
     around = {id(n) for x in mains for n in _outer(x)}
-    forms = {id(n) for x in articles for n in _outer(x) if n.tag == "form"}
+    holding = {id(n) for x in articles for n in _outer(x)}
     for node in parser.nodes:  # outer elements come first
-        if node.marked and node.tag == "form":
+        if node.marked == 2:
             most = 2 * (size[node.end] - size[node.start]) >= size[-1] and plain[node.end] > plain[node.start]
-            node.marked = not (most or id(node) in forms)
+            if node.tag == "form":
+                node.marked = 0 if most or id(node) in holding else 2
+            elif id(node) in around or most and id(node) in holding:
+                node.marked = 0
         elif node.marked and id(node) in around:
-            node.marked = False
-        node.skipped = node.skipped or node.marked or node.parent is not None and node.parent.skipped
+            node.marked = 0
+        node.skipped = node.skipped or node.marked == 2 or node.parent is not None and node.parent.skipped
 
 
 def _outer(node: Node):
