@@ -279,8 +279,8 @@ def _seeds(parser: Lines) -> dict[int, int]:
 
 
 def _doubtful(parser: Lines, seeds: dict[int, int]) -> bool:
-    """Skip the parts of doubtful names of which the content cluster holds less than half, unless they read like
-    text (``READS`` characters outside links, three times as many as in links); whether there were any."""
+    """Skip the parts of doubtful names, but for those that read like text (``READS`` characters outside links,
+    three times as many as in links) and lie in an article or half in the content cluster; whether there were any."""
     doubtful = [n for n in parser.nodes if n.marked == 1 and not n.skipped]
     if not doubtful:
         return False
@@ -289,7 +289,7 @@ def _doubtful(parser: Lines, seeds: dict[int, int]) -> bool:
     whole = list(accumulate((len(x[0]) for x in parser.done), initial=0))
     text = lambda n: (size[n.end] - size[n.start], whole[n.end] - whole[n.start])
     reads = lambda plain, every: plain >= READS and 4 * plain >= 3 * every
-    gone = [n for n in doubtful if 2 * (mass[n.end] - mass[n.start]) < max(1, text(n)[0]) and not reads(*text(n))]
+    gone = [n for n in doubtful if not (reads(*text(n)) and (n.headed or 2 * (mass[n.end] - mass[n.start]) >= text(n)[0]))]
     for node in gone:
         node.skipped = True
     for node in parser.nodes if gone else ():
@@ -306,14 +306,12 @@ def _clear(parser: Lines) -> None:
     around = {id(n) for x in mains for n in _outer(x)}
     holding = {id(n) for x in articles for n in _outer(x)}
     for node in parser.nodes:  # outer elements come first
-        if node.marked == 2:
+        if node.marked:
             most = 2 * (size[node.end] - size[node.start]) >= size[-1] and plain[node.end] > plain[node.start]
             if node.tag == "form":
                 node.marked = 0 if most or id(node) in holding else 2
             elif id(node) in around or most and id(node) in holding:
                 node.marked = 0
-        elif node.marked and id(node) in around:
-            node.marked = 0
         node.skipped = node.skipped or node.marked == 2 or node.parent is not None and node.parent.skipped
 
 
