@@ -15,6 +15,8 @@ SPACES = " \t\n\r\x0b\x0c"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_distinct", "n_marks")
 #: Most labelled rows that the rules are learned from, and the seed of the grow and prune parts.
 SAMPLE, SEED = 20_000, 7
+#: Draws of the rows to grow a rule on that may fail in a row before learning ends.
+DRAWS = 12
 
 
 def repeated_words(words: list[bytes]) -> tuple[int, int]:
@@ -146,38 +148,47 @@ def _centred(rule: Rule, x: dict) -> Rule:
     return Rule(tuple(tests))
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, support: int = 5, most: int = 12) -> list[Rule]:
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, support: int = 5, most: int = 12, draws: int = DRAWS) -> list[Rule]:
     """Sequential covering: grow a rule on two thirds of the rows left, prune it on the rest, keep it if
-    it is right at least ``precision`` of the time on both, remove what it covers, go on."""
+    it is right at least ``precision`` of the time on both, remove what it covers, go on. Where the rule of one
+    draw of the thirds isn't kept, others are tried; after ``draws`` poor ones in a row there is nothing to learn."""
     rng = np.random.default_rng(SEED)
     rules: list[Rule] = []
-    left = np.ones(len(bad), bool)
-    while len(rules) < most and (left & bad).sum() >= support:
+    left, poor = np.ones(len(bad), bool), 0
+    while len(rules) < most and poor < draws and (left & bad).sum() >= support:
         part = rng.random(len(bad)) < 2 / 3
-        grow, prune = left & part, left & ~part
-        if not (grow & bad).any():
-            break
-        xg = {k: v[grow] for k, v in x.items()}
-        cuts = {k: np.unique(np.quantile(v, np.linspace(0.005, 0.995, 100), method="lower")) for k, v in xg.items()}
-        rule = _grow(xg, bad[grow], cuts)
-        best = (-1.0, rule)
-        for k in range(len(rule.tests), 0, -1):
-            short = Rule(rule.tests[:k])
-            m = short.mask(x) & prune
-            p, n = (m & bad).sum(), (m & ~bad).sum()
-            if (worth := (p - n) / max(p + n, 1)) >= best[0]:
-                best = (worth, short)
-        rule = _centred(best[1], {k: v[left] for k, v in x.items()})
-        m = rule.mask(x) & left
-        right, n = (m & bad).sum(), m.sum()
-        mp = m & prune
-        if not rule.tests or right < support or right < precision * n or (mp & bad).sum() < precision * mp.sum():
-            break
-        rules.append(rule)
-        left &= ~m
+        rule = _tried(x, bad, left, part, precision, support)
+        if rule is None:
+            poor += 1
+        else:
+            rules.append(rule)
+            left, poor = left & ~rule.mask(x), 0
     return rules
 
 
+def _tried(x: dict, bad: np.ndarray, left: np.ndarray, part: np.ndarray, precision: float, support: int) -> Rule | None:
+    """The rule grown on ``part`` of the rows left and pruned on the others, if it is right often enough."""
+    grow, prune = left & part, left & ~part
+    if not (grow & bad).any():
+        return None
+    xg = {k: v[grow] for k, v in x.items()}
+    cuts = {k: np.unique(np.quantile(v, np.linspace(0.005, 0.995, 100), method="lower")) for k, v in xg.items()}
+    rule = _grow(xg, bad[grow], cuts)
+    best = (-1.0, rule)
+    for k in range(len(rule.tests), 0, -1):
+        short = Rule(rule.tests[:k])
+        m = short.mask(x) & prune
+        p, n = (m & bad).sum(), (m & ~bad).sum()
+        if (worth := (p - n) / max(p + n, 1)) >= best[0]:
+            best = (worth, short)
+    rule = _centred(best[1], {k: v[left] for k, v in x.items()})
+    m = rule.mask(x) & left
+    right, mp = (m & bad).sum(), m & prune
+    if not rule.tests or right < support or right < precision * m.sum() or (mp & bad).sum() < precision * mp.sum():
+        return None
+    return rule
+
+
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Learn reject rules from at most ``sample`` labelled rows, chosen by a hash of doc_id.
 
