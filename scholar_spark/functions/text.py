@@ -127,7 +127,8 @@ def journal_title(s: pd.Series) -> pd.Series:
 
 
 def truncate(c: Column, n: int) -> Column:
-    return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n - 3), F.lit("..."))).otherwise(c)
+    """The first n characters, and dots where there are more."""
+    return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
 def tidy_punctuation(c: Column) -> Column:

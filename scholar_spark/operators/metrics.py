@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scholar_spark import schema as S
 from scholar_spark.functions import text as X
+from scholar_spark.operators.lineage import numbered
 
 
 def zero(c: Column) -> Column:
@@ -178,7 +179,14 @@ def h_index(df: DataFrame, by: list[str], cites: str = "cites") -> DataFrame:
 def modal(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The most frequent value of each group, the smallest of several."""
     n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
-    return n.groupBy(*by).agg(F.max(F.struct("k", F.lit(0))).alias("m"), F.min_by(value, F.struct((-F.col("k")).alias("a"), F.col(value).alias("b"))).alias(value)).drop("m")
+    return n.groupBy(*by).agg(F.min_by(value, F.struct((-F.col("k")).alias("a"), F.col(value).alias("b"))).alias(value))
+
+
+def source_titles(articles: DataFrame, spelled: str, longest: int = 40, by: str = "source") -> DataFrame:
+    """For each source its most frequent spelling as a journal title, and that cut to ``longest`` characters."""
+    known = articles.where(F.col(by).isNotNull() & F.col("year").isNotNull())
+    title = X.journal_title(F.col(spelled))
+    return modal(known, [by], spelled).select(by, title.alias("title")).withColumn("display", X.truncate(F.col("title"), longest))
 
 
 def source_metrics(articles: DataFrame, as_of: int, by: str = "source") -> DataFrame:
@@ -253,11 +261,18 @@ def landscape(articles: DataFrame, by: str = "source") -> DataFrame:
     return n.where("cites > 0").withColumn("avg_cites", F.col("cites") / F.col("n"))
 
 
+def article_ranks(articles: DataFrame) -> DataFrame:
+    """All articles with their rank by citations, of equals in the order of ids; numbered in ranges."""
+    out = numbered(articles.withColumn("cites", zero(F.col("cites"))), [F.desc("cites"), F.col("id")])
+    return out.withColumn("rank", F.col("position") + 1).drop("position")
+
+
 def article_ranking(articles: DataFrame, top: int) -> DataFrame:
-    """The ``top`` most cited articles with their rank."""
+    """The ``top`` most cited articles with their rank, and how a table shows title and first author."""
     first = articles.withColumn("cites", zero(F.col("cites"))).orderBy(F.desc("cites"), "id").limit(top)
     if "Title" in articles.columns:
-        first = first.withColumn("short_title", X.truncate(F.col("Title"), 70)).withColumn("first_author", F.get("authors", F.lit(0)))
+        author = F.coalesce(F.get("authors", F.lit(0)), F.lit("N/A")) if "authors" in articles.columns else F.lit("N/A")
+        first = first.withColumn("short_title", X.truncate(F.col("Title"), 70)).withColumn("first_author", author)
     return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cites"), "id")))  # over the top rows only
 
 

@@ -16,6 +16,9 @@ from scholar_spark.operators.metrics import zero
 
 TEXT_COLUMNS = ("Keywords Plus", "Author Keywords", "Abstract", "Title")
 
+#: Tokens of a sliding window, and what keeps logarithms of absent pairs finite.
+WINDOW, EPSILON = 110, 1e-12
+
 
 def combined_text(columns: tuple[str, ...] = TEXT_COLUMNS) -> Column:
     """The columns joined by blanks; a null one still leaves its blank."""
@@ -171,6 +174,49 @@ def umass_coherence(topic_terms: DataFrame, doc_terms: DataFrame) -> DataFrame:
     return pairs.agg(F.avg(F.ln((zero(F.col("both")) + 1) / F.greatest(F.lit(1), zero(F.col("d"))))).alias("coherence"))
 
 
+def window_counts(topic_terms: DataFrame, docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(topic, x, y, both): sliding windows of ``size`` tokens that hold both terms of a topic, x = y for one term.
+
+    docs: id, tokens. A place covers the windows that begin up to size - 1 tokens before it; a document that is no
+    longer than a window is one. The windows that a term is in are bits of numbers, 64 to a block: the union of
+    what its places cover is an or, what two terms share an and, so neither windows nor pairs of places are rows.
+    """
+    terms = topic_terms.select("topic", "term").distinct()
+    rows = docs.select("id", F.greatest(F.size("tokens") - size, F.lit(0)).alias("last"), F.posexplode("tokens").alias("at", "term"))
+    rows = rows.join(F.broadcast(terms), "term")  # some terms a topic
+    rows = rows.withColumn("lo", F.greatest(F.col("at") - (size - 1), F.lit(0))).withColumn("hi", F.least("at", "last"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / 64), F.floor(F.col("hi") / 64))))
+    mask = "shiftleft(shiftrightunsigned(-1L, cast(63 - least(hi - 64 * block, 63) + greatest(lo - 64 * block, 0) as int)), cast(greatest(lo - 64 * block, 0) as int))"
+    held = rows.groupBy("id", "block", "topic", "term").agg(F.bit_or(F.expr(mask)).alias("mask"))
+    blocks = held.groupBy("id", "block", "topic").agg(F.sort_array(F.collect_list(F.struct("term", "mask"))).alias("a"))  # at most a topic's terms
+    first = blocks.select("topic", "a", F.posexplode("a").alias("i", "x"))
+    pairs = first.select("topic", "x", F.explode(F.slice("a", F.col("i") + 1, F.size("a"))).alias("y"))
+    return pairs.groupBy("topic", F.col("x.term").alias("x"), F.col("y.term").alias("y")).agg(F.sum(F.bit_count(F.expr("x.mask & y.mask"))).alias("both"))
+
+
+def cv_coherence(topic_terms: DataFrame, docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(topic, coherence): how alike the company is that a topic's terms keep.
+
+    A term's vector has its normalized pointwise mutual information, over sliding windows, with each term of the
+    topic (itself included); the coherence is the mean cosine of the terms' vectors and their sum. Terms that
+    no document has give nothing to the others, and a cosine of 0. topic_terms: topic, term; docs: id, tokens.
+    """
+    both = window_counts(topic_terms, docs, size)
+    total = docs.agg(F.sum(F.greatest(F.size("tokens") - size, F.lit(0)) + 1).alias("windows"))
+    single = both.where("x = y").select("topic", F.col("x").alias("term"), F.col("both").alias("n"))
+    every = both.unionByName(both.where("x <> y").select("topic", F.col("y").alias("x"), F.col("x").alias("y"), "both"))
+    terms = topic_terms.select("topic", "term").distinct()
+    cells = terms.toDF("topic", "x").join(terms.toDF("topic", "y"), "topic").join(every, ["topic", "x", "y"], "left")
+    cells = cells.join(single.toDF("topic", "x", "nx"), ["topic", "x"]).join(single.toDF("topic", "y", "ny"), ["topic", "y"]).join(F.broadcast(total), F.lit(True))  # one row
+    p = lambda c: zero(F.col(c)) / F.col("windows")
+    cells = cells.select("topic", "x", "y", (F.ln((p("both") + EPSILON) / (p("nx") * p("ny"))) / -F.ln(p("both") + EPSILON)).alias("v"))
+    whole = cells.groupBy("topic", "y").agg(F.sum("v").alias("s"))
+    length = whole.groupBy("topic").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"))
+    parts = cells.join(whole, ["topic", "y"]).groupBy("topic", "x").agg(F.sum(F.col("v") * F.col("s")).alias("dot"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"))
+    cosine = parts.join(length, "topic").select("topic", "x", (F.col("dot") / F.nullif(F.col("own") * F.col("length"), F.lit(0.0))).alias("cosine"))
+    return terms.toDF("topic", "x").join(cosine, ["topic", "x"], "left").groupBy("topic").agg(F.avg(zero(F.col("cosine"))).alias("coherence"))
+
+
 def fit_nmf(doc_terms: DataFrame, k: int, iterations: int = 500, seed: int = 42, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
     """Non-negative factors by multiplicative updates: (id, w array), (term, h array), losses.
 

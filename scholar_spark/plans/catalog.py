@@ -230,6 +230,30 @@ def article_rank(spark, d):
     return metrics.article_ranking(articles(spark, d, False, False), 10).select("id", "cites", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(" SELECT id, coalesce(cites, 0) AS cites, row_number() OVER (ORDER BY coalesce(cites, 0) DESC, id) AS rank FROM art")
+def article_ranks(spark, d):
+    return metrics.article_ranks(articles(spark, d, False, False)).select("id", "cites", "rank")
+
+
+@query(""", t AS (SELECT id, coalesce(cites, 0) AS cites, authors, concat_ws(' ', 'The report number', id, 'from', source, 'about', keywords, 'and', doc_type) AS title FROM art)
+  SELECT row_number() OVER (ORDER BY cites DESC, id) AS rank, id, CASE WHEN length(title) > 70 THEN title[1:70] || '...' ELSE title END AS short_title, coalesce(authors[1], 'N/A') AS first_author
+  FROM t ORDER BY rank LIMIT 40""")
+def article_display(spark, d):
+    title = F.concat_ws(" ", F.lit("The report number"), "id", F.lit("from"), "source", F.lit("about"), "keywords", F.lit("and"), "doc_type")
+    rows = metrics.article_ranking(articles(spark, d, mncs=False).withColumn("Title", title), 40)
+    return rows.select(F.col("rank").cast("bigint").alias("rank"), "id", "short_title", "first_author")
+
+
+_SPELLED = "CASE WHEN id % 5 < 2 THEN upper(s) WHEN id % 5 < 4 THEN s ELSE lower(s) END"
+
+
+@query(f""", t AS (SELECT s, {_SPELLED} AS spelled FROM (SELECT id, year, keywords AS s FROM art) WHERE s IS NOT NULL AND year IS NOT NULL),
+  n AS (SELECT s, spelled, count(*) AS k FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k DESC, spelled) AS r FROM n) SELECT s AS source, spelled FROM r WHERE r = 1""")
+def source_spelling(spark, d):
+    rows = articles(spark, d, False, False).withColumn("s", F.col("keywords")).withColumn("spelled", F.expr(_SPELLED)).where("s IS NOT NULL AND year IS NOT NULL")
+    return metrics.modal(rows, ["s"], "spelled").select(F.col("s").alias("source"), "spelled")
+
+
 @query(_RANK.format(w=f"WHERE year >= {AS_OF - 3}"))
 def hot_papers(spark, d):
     return metrics.hot_papers(articles(spark, d, False, False), AS_OF, 10).select("id", "cites", F.col("rank").cast("bigint").alias("rank"))
@@ -606,6 +630,27 @@ def ngram_filters(spark, d):
     return themes.frequent_ngrams(docs)
 
 
+_CV = r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), l AS (SELECT id, w, greatest(len(w) - 110, 0) AS last FROM w),
+p AS (SELECT id, last, unnest(w) AS term, unnest(range(len(w))) AS place FROM l), f AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS k FROM p GROUP BY term),
+t AS (SELECT CAST(k % 3 AS BIGINT) AS topic, term FROM f WHERE k BETWEEN 20 AND 34), c AS (SELECT DISTINCT topic, term, id, unnest(range(greatest(place - 109, 0), least(place, last) + 1)) AS s FROM p JOIN t USING (term)),
+n AS (SELECT sum(last + 1) AS m FROM l), b AS (SELECT x.topic, x.term AS x, y.term AS y, count(*) AS cnt FROM c x JOIN c y ON x.topic = y.topic AND x.id = y.id AND x.s = y.s GROUP BY ALL),
+e AS (SELECT x.topic, x.term AS x, y.term AS y, coalesce(cnt, 0) AS cnt FROM t x JOIN t y USING (topic) LEFT JOIN b ON b.topic = x.topic AND b.x = x.term AND b.y = y.term),
+o AS (SELECT topic, x AS term, cnt AS n FROM e WHERE x = y), v AS (SELECT e.topic, e.x, e.y, ln((cnt / m + 1e-12) / (ox.n / m * oy.n / m)) / -ln(cnt / m + 1e-12) AS v FROM e JOIN o ox ON ox.topic = e.topic AND ox.term = e.x
+JOIN o oy ON oy.topic = e.topic AND oy.term = e.y, n), z AS (SELECT topic, y, sum(v) AS s FROM v GROUP BY ALL), q AS (SELECT topic, sqrt(sum(s * s)) AS q FROM z GROUP BY topic),
+r AS (SELECT v.topic, x, sum(v * s) / (sqrt(sum(v * v)) * any_value(q)) AS r FROM v JOIN z ON z.topic = v.topic AND z.y = v.y JOIN q ON q.topic = v.topic GROUP BY ALL) SELECT topic, round(avg(r), 6) AS coherence FROM r GROUP BY topic"""
+
+
+@query(_CV, base=False)
+def cv_coherence(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("tokens"))
+    counts = docs.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "term").limit(35)
+    listed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))).alias("a")).select(F.posexplode("a").alias("k", "x"))
+    terms = listed.where("k BETWEEN 20 AND 34").select((F.col("k") % 3).cast("long").alias("topic"), F.col("x.term").alias("term"))
+    return rounded(themes.cv_coherence(terms, docs), "coherence")
+
+
 @query()
 def processed_text(spark, d):
     out = table(spark, d, "documents").select("doc_id", themes.processed(F.col("text"), themes.noise_terms()).alias("processed"))

@@ -34,6 +34,7 @@ def as_articles(fused: DataFrame) -> DataFrame:
             "id": F.col("row_id"), "year": F.col("`Publication Year`").cast("int"), "cites": F.col("`Cited by`"),
             "source": X.source_key(F.col("`Source Title`")), "doc_type": F.col("`Document Type`"), "authors": X.pieces(authors),
             "refs": F.col("`Cited Reference Count`"),
+            **{n: X.pieces(F.col(f"`{c}`")) for n, c in (("keywords", "Author Keywords"), ("index_keywords", "Keywords Plus")) if c in fused.columns},
         }
     )
 
@@ -55,7 +56,8 @@ def run_entity_resolution(stage: Stage, aliases: dict | None = None) -> Stage:
 
 def run_corpus(stage: Stage, config: dict) -> Stage:
     rows, year = metrics.add_mncs(as_articles(stage.data)), config["as_of_year"]
-    production, sources = metrics.annual_production(rows), metrics.source_metrics(rows, year)
+    production, titles = metrics.annual_production(rows), metrics.source_titles(rows, "Source Title")
+    sources = metrics.source_metrics(rows, year).join(titles, "source", "left")
     tables = {
         "characteristics": metrics.corpus_characteristics(rows, year), "mncs_baselines": metrics.mncs_baselines(rows), "mncs_audit": metrics.mncs_audit(rows),
         "doc_types": metrics.doc_types(rows), "authors": metrics.author_productivity(rows), "annual": production, "trend": metrics.trend_test(metrics.trend(production)),
@@ -73,7 +75,7 @@ def run_advanced(stage: Stage, config: dict, analyses=ANALYSES) -> Stage:
     ranked = metrics.bradford(rows)
     made = {
         "summary": {"summary": metrics.final_summary(rows, year), "document_snapshot": metrics.document_snapshot(rows)},
-        "articles": {"articles": metrics.article_ranking(rows, top)},
+        "articles": {"articles": metrics.article_ranking(rows, top), "article_ranks": metrics.article_ranks(rows)},
         "authors": {"author_impact": metrics.author_impact(rows, top)},
         "bradford": {"bradford": ranked, "bradford_zones": metrics.bradford_zones(ranked)},
         "hot": {"hot_papers": metrics.hot_papers(rows, year, top)},
