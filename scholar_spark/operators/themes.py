@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scholar_spark import schema as S
 from scholar_spark.functions import text as X
-from scholar_spark.operators.lineage import cut
+from scholar_spark.operators.lineage import Stored, cut
 from scholar_spark.operators.metrics import zero
 
 TEXT_COLUMNS = ("Keywords Plus", "Author Keywords", "Abstract", "Title")
@@ -57,32 +59,52 @@ def min_df(documents: int) -> int:
     return max(1, min(max(5, documents // 100), documents))
 
 
-def _grams(k: int) -> Column:
-    """For each k-gram of the array w in alphabetical order: k, the gram, 1 at the first of equal ones."""
-    at = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    sorted_ = F.sort_array(F.transform(at, lambda i: F.array_join(F.slice("w", i, k), " ")))
-    before = F.concat(F.array(F.lit("").cast("string")), sorted_)
-    return F.zip_with(sorted_, F.slice(before, 1, F.size(sorted_)), lambda g, b: F.struct(F.lit(k).alias("n"), g.alias("ngram"), (g != b).cast("int").alias("new")))
+def _tokens(docs: DataFrame, text: str) -> DataFrame:
+    """(doc, w): the tokens of two or more word characters of each row that has any."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b\w[\w-]*\w\b"), F.lit(0))
+    return docs.select(F.monotonically_increasing_id().alias("doc"), words.alias("w")).where("size(w) > 0")
 
 
-def ngrams(docs: DataFrame, text: str = "text", n: tuple[int, int] = (1, 4), row: str = "id") -> DataFrame:
-    """(ngram, n, total, df): occurrences and documents of every n-gram of tokens of two or more word characters.
+def _counted(tokens: DataFrame, k: int, below: DataFrame | None = None) -> DataFrame:
+    """(w1 ... wk, total, df) of the k-grams; with ``below``, only of those whose two (k-1)-grams it holds.
 
-    A document's equal n-grams stand together in its own sorted array, where the first is marked: one
-    aggregate with map-side combine then counts both occurrences and documents, in one shuffle.
+    Tokens are dealt by document first, so a document's equal grams meet without a second shuffle of grams.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b\w[\w-]*\w\b"), F.lit(0))
-    rows = docs.select(words.alias("w"))
-    each = rows.select(F.explode(F.concat(*[_grams(k) for k in range(n[0], n[1] + 1)])).alias("g")).select("g.ngram", "g.n", "g.new")
-    return each.groupBy("ngram", "n").agg(F.count("*").alias("total"), F.sum("new").alias("df"))
+    names = [f"w{i}" for i in range(1, k + 1)]
+    shifted = [F.slice("w", i, F.size("w") - (k - 1)).alias(f"w{i}") for i in range(1, k + 1)]
+    rows = tokens.where(F.size("w") >= k).repartition("doc").select("doc", F.inline(F.arrays_zip(*shifted)))
+    if below is not None:
+        for own in (names[:-1], names[1:]):
+            rows = rows.join(below.toDF(*own), own, "left_semi")
+    each = rows.groupBy("doc", *names).agg(F.count("*").alias("n"))
+    return each.groupBy(*names).agg(F.sum("n").alias("total"), F.count("*").alias("df"))
+
+
+def _shown(found: DataFrame, k: int) -> DataFrame:
+    return found.select(F.concat_ws(" ", *[f"w{i}" for i in range(1, k + 1)]).alias("ngram"), F.lit(k).alias("n"), "total", "df")
 
 
-def frequent_ngrams(docs: DataFrame, least: int | None = None, most: float = 0.90, blocked: tuple[str, ...] = S.BLOCKED_PHRASES, **kind) -> DataFrame:
+def ngrams(docs: DataFrame, text: str = "text", n: tuple[int, int] = (1, 4)) -> DataFrame:
+    """(ngram, n, total, df): occurrences and documents of every n-gram of tokens of two or more word characters."""
+    tokens = _tokens(docs, text)
+    return reduce(DataFrame.unionByName, [_shown(_counted(tokens, k), k) for k in range(n[0], n[1] + 1)])
+
+
+def frequent_ngrams(docs: DataFrame, least: int | None = None, most: float = 0.90, blocked: tuple[str, ...] = S.BLOCKED_PHRASES, text: str = "text", n: tuple[int, int] = (1, 4)) -> DataFrame:
     """N-grams in at least ``least`` documents and at most a share ``most`` of them, without those that repeat
-    a token, end in the initials of the others, or are blocked."""
+    a token, end in the initials of the others, or are blocked.
+
+    Level by level: a gram is counted only where the two shorter ones inside it are in ``least`` documents,
+    so what is shuffled shrinks with each level, and no count of a gram that is returned changes.
+    """
     documents = docs.count()
     least = min_df(documents) if least is None else least
-    found = ngrams(docs, **kind).where((F.col("df") >= least) & (F.col("df") <= most * documents))
+    tokens, below, levels = Stored(_tokens(docs, text), "tokens").df, None, []
+    for k in range(1, n[1] + 1):
+        found = Stored(_counted(tokens, k, below).where(F.col("df") >= least), f"grams{k}").df
+        below = found.drop("total", "df")
+        levels.append(_shown(found, k))
+    found = reduce(DataFrame.unionByName, levels[n[0] - 1 :]).where(F.col("df") <= most * documents)
     return ngram_filters(found, blocked)
 
 
