@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 
 from scholar_spark import schema as S
 from scholar_spark.functions import text as X
-from scholar_spark.operators.lineage import Stored, cut
+from scholar_spark.operators.factors import fit_nmf  # noqa: F401  (the other topic model)
+from scholar_spark.operators.lineage import Stored
 from scholar_spark.operators.metrics import zero
 
 TEXT_COLUMNS = ("Keywords Plus", "Author Keywords", "Abstract", "Title")
@@ -154,7 +154,8 @@ def nmf_terms(h: DataFrame, n: int = 15) -> DataFrame:
     """(topic from 1, rank from 0, term) of each factor's n heaviest terms; ``h`` as ``fit_nmf`` gives it."""
     each = h.select("term", F.posexplode("h").alias("t", "w")).select((F.col("t") + 1).alias("topic"), "term", "w")
     heavy = Window.partitionBy("topic").orderBy(F.desc("w"), "term")
-    return each.withColumn("rank", F.row_number().over(heavy) - 1).where(F.col("rank") < n).select("topic", "rank", "term")
+    first = each.withColumn("place", F.row_number().over(heavy)).where(F.col("place") <= n)  # a limit on the place itself is applied before the shuffle too
+    return first.select("topic", (F.col("place") - 1).alias("rank"), "term")
 
 
 def term_weights(rows: DataFrame) -> DataFrame:
@@ -239,45 +240,6 @@ def cv_coherence(topic_terms: DataFrame, docs: DataFrame, size: int = WINDOW) ->
     return terms.toDF("topic", "x").join(cosine, ["topic", "x"], "left").groupBy("topic").agg(F.avg(zero(F.col("cosine"))).alias("coherence"))
 
 
-def fit_nmf(doc_terms: DataFrame, k: int, iterations: int = 500, seed: int = 42, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Non-negative factors by multiplicative updates: (id, w array), (term, h array), losses.
-
-    doc_terms has id, term, tf. Only the k x k Gram matrices and losses reach the driver; both factors stay
-    distributed and are checkpointed in every round.
-    """
-    x = doc_terms.select("id", "term", F.col("tf").cast("double").alias("tf")).persist()
-    square = x.agg(F.sum(F.col("tf") * F.col("tf"))).first()[0] or 0.0
-
-    def start(key):
-        draw = [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(i)), F.lit(1_000_003)) / 1_000_003.0 + 0.01 for i in range(k)]
-        return x.select(key).distinct().select(key, F.array(*draw).alias("f"))
-
-    def gram(f):
-        got = f.agg(*[F.sum(F.col("f")[i] * F.col("f")[j]) for i in range(k) for j in range(i, k)]).first()
-        out = np.zeros((k, k))
-        out[np.triu_indices(k)] = [v or 0.0 for v in got]
-        return np.maximum(out, out.T)
-
-    def update(key, other, f, g):
-        """f * (X g) / (f G), with G = g'g."""
-        sums = x.join(g.withColumnRenamed("f", "g"), other).groupBy(key).agg(*[F.sum(F.col("tf") * F.col("g")[i]).alias(f"n{i}") for i in range(k)])
-        m = gram(g)
-        below = [sum((F.col("f")[j] * float(m[j, i]) for j in range(k)), F.lit(1e-12)) for i in range(k)]
-        out = f.join(sums, key).select(key, F.array(*[F.col("f")[i] * F.col(f"n{i}") / below[i] for i in range(k)]).alias("f"))
-        return cut(out)
-
-    w, h, losses = start("id"), start("term"), []
-    for _ in range(iterations):
-        w = update("id", "term", w, h)
-        h = update("term", "id", h, w)
-        inner = x.join(w.withColumnRenamed("f", "w"), "id").join(h.withColumnRenamed("f", "h"), "term")
-        dot = inner.agg(F.sum(F.col("tf") * sum((F.col("w")[i] * F.col("h")[i] for i in range(k)), F.lit(0.0)))).first()[0] or 0.0
-        losses.append(float(square - 2 * dot + (gram(w) * gram(h)).sum()))
-        if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * max(losses[0], 1e-12):
-            break
-    return w.toDF("id", "w"), h.toDF("term", "h"), losses
-
-
 def time_slice(year: Column, width: int) -> Column:
     lo = (F.floor(year / width) * width).cast("int")
     return F.concat(lo.cast("string"), F.lit("-"), (lo + (width - 1)).cast("string"))

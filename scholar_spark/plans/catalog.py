@@ -733,8 +733,8 @@ def lda_topics(spark, d):
 
 @query()
 def nmf_topics(spark, d):
-    terms = articles(spark, d, mncs=False).select("id", F.explode("countries").alias("term")).withColumn("tf", F.lit(1))
-    _, h, _ = themes.fit_nmf(terms, 2)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), themes.processed(F.col("text"), themes.noise_terms()).alias("processed"))
+    _, h, _ = themes.fit_nmf(themes.term_weights(themes.document_terms(docs)[0]), 3)
     return h.select("term", (F.array_position("h", F.array_max("h"))).cast("int").alias("topic"))
 
 
