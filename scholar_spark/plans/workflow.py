@@ -185,8 +185,9 @@ def run_topics(stage: Stage, config: dict, k: int | None = None) -> Stage:
     return Stage(out, tables, metadata={"k": size})
 
 
-def run_workflow(exports: list[readers.Export], config: dict | None = None, aliases: dict | None = None) -> tuple[dict[str, Stage], Manifest]:
-    """All stages; an optional one that cannot run is listed as skipped.
+def run_workflow(exports: list[readers.Export], config: dict | None = None, aliases: dict | None = None, ingestion: Stage | None = None) -> tuple[dict[str, Stage], Manifest]:
+    """All stages; an optional one that cannot run is listed as skipped. ``ingestion``, as ``store.stored_ingestion``
+    gives it, takes the place of reading the exports.
 
     The case study runs where the setting ``country`` names one, the networks of single topics for the
     scopes in ``topic_scopes``.
@@ -201,7 +202,7 @@ def run_workflow(exports: list[readers.Export], config: dict | None = None, alia
         tell(name, "running", "")
         try:
             stages[name] = make()
-            manifest.add(name, "Completed", warnings=stages[name].warnings)
+            manifest.add(name, "Completed", stages[name].metadata.get("documents"), stages[name].warnings)
         except ValueError as e:
             if not optional:
                 raise
@@ -210,7 +211,7 @@ def run_workflow(exports: list[readers.Export], config: dict | None = None, alia
             return
         tell(name, "done", "")
 
-    record("ingestion", lambda: run_ingestion(exports, config))
+    record("ingestion", lambda: ingestion or run_ingestion(exports, config))
     record("entities", lambda: run_entity_resolution(stages["ingestion"], aliases))
     record("corpus", lambda: run_corpus(stages["entities"], config))
     record("geography", lambda: run_geography(stages["corpus"], config))

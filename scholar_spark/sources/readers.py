@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from dataclasses import dataclass, field
 from functools import reduce
@@ -59,7 +60,9 @@ def read_delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names) + f", `{_BROKEN}` string"
     read = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN)
     read = read.option("nullValue", _NONE).option("enforceSchema", True).option("multiLine", quoted).option("escape", '"').option("quote", '"' if quoted else "")
-    df = read.schema(schema).csv(path).withColumn(S.SOURCE_FILE, F.col("_metadata.file_name")).cache()  # a corrupt-record column needs a cached frame
+    df = read.schema(schema).csv(path).withColumn(S.SOURCE_FILE, F.col("_metadata.file_name"))
+    # a corrupt-record column needs a cached frame; a mark of its own keeps a later read of a changed file from getting this one's rows
+    df = df.withColumn("_read", F.lit(uuid.uuid4().hex)).cache()
     width = F.size(F.split(F.regexp_replace(F.col(_BROKEN), r'"(?:[^"]|"")*"', ""), re.escape(sep), -1))
     df = df.withColumn("_width", F.when(F.col(_BROKEN).isNull(), len(names)).otherwise(width)).where(F.col("_width") <= len(names))
     cells = []
@@ -265,6 +268,18 @@ def harmonize(exports: list[Export]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def field_audit(export: Export) -> DataFrame:
+    """For each field that an export of its kind may have: there or not, how many values, kept or not."""
+    table = S.SCOPUS if export.source == "Scopus" else S.WOS
+    return linkage.source_fields(export.data, table, S.DATABASES[list(S.SIGNALS).index(export.source)])
+
+
+def field_coverage(exports: list[Export]) -> DataFrame:
+    """(export, source, there, recommended, pct): recommended columns that each export has; a row an export."""
+    rows = [(i, e.source, *coverage(e.data.columns, e.source)) for i, e in enumerate(exports, 1)]
+    return exports[0].data.sparkSession.createDataFrame(rows, "export int, source string, there int, recommended int, pct double")
+
+
 def ingest(exports: list[Export], cutoff: int | None = None) -> dict[str, DataFrame]:
     """Harmonized, fused and filtered articles with the audits of each step."""
     articles = linkage.with_keys(harmonize(exports)).withColumn("DOI_raw", F.col("DOI"))
@@ -274,4 +289,6 @@ def ingest(exports: list[Export], cutoff: int | None = None) -> dict[str, DataFr
     return {
         "articles": kept, "fused": fused, "prisma": linkage.prisma(articles, fused), "enrichment": linkage.enrichment(fused),
         "databases": linkage.database_combinations(fused), "duplicates": linkage.duplicates(articles), "authors": linkage.author_sources(fused),
+        "temporal": linkage.temporal_audit(fused, kept, cutoff, "Publication Year"), "fields": reduce(DataFrame.unionByName, map(field_audit, exports)),
+        "coverage": field_coverage(exports),
     }
