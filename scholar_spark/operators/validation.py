@@ -9,26 +9,28 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholar_spark.operators import communities
-from scholar_spark.operators.lineage import Stored, numbered
+from scholar_spark.operators.lineage import Stored, sent
 from scholar_spark.operators.metrics import zero
 
 FOLDS, SIMILAR, ITERATIONS, SEED = 5, 0.6, 100, 42
+#: Ends of a random graph that are sorted together.
+RANGE = 1 << 17
 
 
-def fold_of(folds: int, seed: int) -> Column:
+def fold_of(folds: int, seed: int, ends: tuple[str, str] = ("src", "dst")) -> Column:
     """The fold of an edge, by a digest of its ends that any engine can repeat."""
-    text = F.concat_ws("|", F.least("src", "dst"), F.greatest("src", "dst"), F.lit(str(seed)))
+    text = F.concat_ws("|", F.least(*ends), F.greatest(*ends), F.lit(str(seed)))
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(folds))
 
 
-def fold_graphs(edges: DataFrame, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """The edges of each graph but for those of one fold, for every fold."""
+def fold_graphs(edges: DataFrame, folds: int = FOLDS, seed: int = SEED, ends: tuple[str, str] = ("src", "dst")) -> DataFrame:
+    """The edges of each graph but for those of one fold, for every fold; ``ends`` hold the names of numbered nodes."""
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
-    rows = edges.withColumn("fold", fold_of(folds, seed)).withColumn("f", F.explode(others))
+    rows = edges.withColumn("fold", fold_of(folds, seed, ends)).withColumn("f", F.explode(others))
     return rows.select((F.col("g") * folds + F.col("f")).alias("g"), "src", "dst", "weight")
 
 
@@ -124,17 +126,29 @@ def consensus_agreement(found: DataFrame, clusters: DataFrame, folds: int = FOLD
 def stubs(edges: DataFrame, iterations: int, seed: int = SEED) -> DataFrame:
     """(g, src, dst): random pairs of edge ends, as many at each node as it has edges, for each iteration.
 
-    Loops and parallel pairs stand as they fall. Ends lie in random order, by hash; neighbours pair. The order is
-    by ranges, without a task that holds an iteration. ``edges`` (src, dst) are those of one simple graph.
+    Loops and parallel pairs stand as they fall. Ends lie in random order, by hash; neighbours pair. The first
+    bits of the hash make ranges of even size, so no task holds an iteration; a range's ends are paired where they
+    are sorted, but for one that its last or first end may leave to the next. ``edges`` (src, dst) are those of
+    one simple graph.
     """
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    ends = Stored(ends, "ends").df
+    bits = min(24, math.ceil(math.log2(max((ends.agg(F.sum("degree")).first()[0] or 0) / RANGE, 2))))
     copies = ends.select("node", F.explode(F.sequence(F.lit(1), F.col("degree"))).alias("k"))
     copies = copies.select(F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("g"), "node", "k")
-    order = F.xxhash64("g", "node", "k", F.lit(seed))
-    placed = numbered(copies.select("g", "node", order.alias("_key"), "k"), [F.col("_key"), F.col("node"), F.col("k")], ("g",))
-    halves = placed.select("g", F.floor(F.col("position") / 2).alias("pair"), (F.col("position") % 2).alias("side"), "node")
-    one = lambda side: F.max(F.when(F.col("side") == side, F.col("node")))
-    pairs = halves.groupBy("g", "pair").agg(one(0).alias("x"), one(1).alias("y"))
+    copies = copies.select("g", "node", F.xxhash64("g", "node", "k", F.lit(seed)).alias("_key"))
+    copies = copies.withColumn("_range", F.shiftright("_key", 64 - bits))
+    before = Window.partitionBy("g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = copies.groupBy("g", "_range").agg(F.count("*").alias("n")).select("g", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("g", "_range").orderBy("_key", "node")
+    placed = copies.withColumns({"place": F.row_number().over(order), "next": F.lead("node").over(order)})
+    placed = placed.join(sent(starts, iterations << bits), ["g", "_range"]).withColumn("position", F.col("start") + F.col("place") - 1)
+    placed = placed.where("position % 2 = 0 OR place = 1")
+    pair = F.when(F.col("next").isNull() | (F.col("position") % 2 == 1), F.floor(F.col("position") / 2))  # of an end whose fellow is in another range
+    made = Stored(placed.select("g", F.col("node").alias("x"), F.when(pair.isNull(), F.col("next")).alias("y"), pair.alias("pair")), "stubs").df
+    # the fellow of a first end is the last one of a range before
+    apart = made.where("pair IS NOT NULL").groupBy("g", "pair").agg(F.min("x").alias("x"), F.max("x").alias("y"))
+    pairs = made.where("pair IS NULL").select("g", "x", "y").unionByName(apart.select("g", "x", "y"))
     return pairs.select("g", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
 
 
