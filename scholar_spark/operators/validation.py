@@ -171,6 +171,7 @@ def validate_communities(edges: DataFrame, iterations: int = ITERATIONS, folds:
     with the consensus; null (g, nmi) of random graphs of the same degrees; report (one row): means and standard
     deviations of both, of the random graphs, p (share of those that agree as well) and z.
     """
+    edges = Stored(edges, "network").df
     own = edges.select(F.lit(0).cast("long").alias("g"), "src", "dst", "weight")
     found = Stored(shared_communities(communities.partitions(Stored(fold_graphs(own, folds, seed), "folds").df)), "found").df
     clusters = Stored(consensus(found, folds), "consensus").df
