@@ -22,24 +22,29 @@ LEAST = 1e-6
 
 
 class Cells:
-    """X written once, with the size of both sides."""
+    """X written once for each side, dealt by it, so that a side's sums are made where its cells lie."""
 
     def __init__(self, cells: DataFrame):
         x = cells.select("id", "term", F.col("tf").cast("double").alias("tf")).where("tf <> 0").repartition("id")
-        self.stored = Stored(x, "cells")
-        self.x = self.stored.df
+        self.stored = {"id": Stored(x, "cells")}
+        self.x = self.stored["id"].df
+        self.stored["term"] = Stored(self.x.repartition("term"), "cells")
         key = {c: self.x.select(c).distinct().agg(F.count("*"), F.sum(F.octet_length(F.col(c).cast("string")))).first() for c in ("id", "term")}
         self.size = {c: n for c, (n, _) in key.items()}
         self.bytes = {c: (b or 0) + 32 * n for c, (n, b) in key.items()}
         self.total, self.square = (v or 0.0 for v in self.x.agg(F.sum("tf"), F.sum(F.col("tf") * F.col("tf"))).first())
 
+    def drop(self) -> None:
+        for stored in self.stored.values():
+            stored.drop()
+
     def keys(self, side: str) -> DataFrame:
-        return self.x.select(side).distinct()
+        return self.stored[side].df.select(side).distinct()
 
     def times(self, f: DataFrame, side: str, other: str, width: int) -> DataFrame:
         """(side, f): X, or for terms its transpose, times the factor of the other side."""
         small = self.bytes[other] + 8 * width * self.size[other] <= SENT_BYTES
-        met = self.x.join(F.broadcast(f) if small else f, other)  # its size is counted
+        met = self.stored[side].df.join(F.broadcast(f) if small else f, other)  # its size is counted
         sums = met.groupBy(side).agg(*[F.expr(f"sum(tf * f[{i}])").alias(f"n{i}") for i in range(width)])
         return sums.select(side, F.array(*[f"n{i}" for i in range(width)]).alias("f"))
 
@@ -155,5 +160,5 @@ def fit_nmf(doc_terms: DataFrame, k: int, iterations: int = 500, seed: int = 42,
         losses.append(float(cells.square - 2 * both + (of_w * of_h).sum()))
         if len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * max(losses[0], 1e-12):
             break
-    cells.stored.drop()
+    cells.drop()
     return w.df.select("id", F.col("f").alias("w")), h.df.select("term", F.col("f").alias("h")), losses
