@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from scholar_spark import schema as S
 from scholar_spark.functions import text as X
 from scholar_spark.operators.factors import fit_nmf  # noqa: F401  (the other topic model)
+from scholar_spark.operators.grams import Frequent, longer_counts, word_counts
 from scholar_spark.operators.graph import Coded
-from scholar_spark.operators.lineage import Stored, numbered, sent
+from scholar_spark.operators.lineage import SENT_ROWS, Stored, numbered, sent
 from scholar_spark.operators.metrics import zero
 
 TEXT_COLUMNS = ("Keywords Plus", "Author Keywords", "Abstract", "Title")
@@ -61,7 +62,9 @@ def min_df(documents: int) -> int:
 
 def _tokens(docs: DataFrame, text: str) -> DataFrame:
     """(doc, w): the tokens of two or more word characters of each row that has any."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b\w[\w-]*\w\b"), F.lit(0))
+    found = lambda pattern: F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(0))
+    plain = F.octet_length(text) == F.char_length(text)  # ASCII, for which a plainer pattern does the same
+    words = F.when(plain, found(r"\b\w[\w-]*\w\b")).otherwise(found(r"(?U)\b\w[\w-]*\w\b"))
     return docs.select(F.monotonically_increasing_id().alias("doc"), words.alias("w")).where("size(w) > 0")
 
 
@@ -99,15 +102,28 @@ def counted_ngrams(docs: DataFrame, least: int | None = None, most: float = 0.90
     """N-grams in at least ``least`` documents and at most a share ``most`` of them.
 
     Level by level: a gram is counted only where the two shorter ones inside it are in ``least`` documents,
-    so what is shuffled shrinks with each level, and no count of a gram that is returned changes.
+    so what is shuffled shrinks with each level, and no count of a gram that is returned changes. Grams are numbers,
+    counted inside the tasks, as long as a level has at most SENT_ROWS frequent ones: these are sent to all tasks. With
+    a share of the documents as ``least`` they do not grow with the documents. Beyond it they are joined as rows.
     """
     documents = docs.count()
     least = min_df(documents) if least is None else least
-    tokens, below, levels = Stored(_tokens(docs, text), "tokens").df, None, []
+    tokens, known, levels = Stored(_tokens(docs, text), "tokens").df, None, []
     for k in range(1, n[1] + 1):
-        found = Stored(_counted(tokens, k, below).where(F.col("df") >= least), f"grams{k}").df
-        below = found.drop("total", "df")
-        levels.append(_shown(found, k))
+        if k == 1:
+            found = word_counts(tokens).where(F.col("df") >= least)
+        elif known:
+            found = longer_counts(tokens, known, least)
+        else:
+            found = _counted(tokens, k, levels[-1].drop("key", "total", "df")).where(F.col("df") >= least)
+        levels.append(Stored(found, f"grams{k}").df)
+        if (k == 1 or known) and levels[-1].count() > SENT_ROWS:
+            known = None
+        elif k == 1:
+            known = Frequent(levels[-1].select("w1").toArrow().column(0).combine_chunks())
+        elif known:
+            known.add(levels[-1].select("key").toArrow().column(0).to_numpy())
+    levels = [_shown(found, k) for k, found in enumerate(levels, 1)]
     return reduce(DataFrame.unionByName, levels[n[0] - 1 :]).where(F.col("df") <= most * documents)
 
 

@@ -4,9 +4,10 @@ import math
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from scholar_spark.operators import themes
+from scholar_spark.operators import grams, themes
 
 
 def test_umass_equals_all_pairs_and_lists_only_pairs_in_documents(spark):
@@ -42,3 +43,31 @@ def test_noise_words_are_searched_as_a_set(spark):
     out = df.select(themes.processed(F.col("text"), themes.noise_terms()).alias("p"))
     assert [r["p"] for r in out.collect()][0].split() == ["graph", "graph"] or "graph graph" in out.first()["p"]
     assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_are_counted_in_tasks_or_joined_beyond_a_bound(spark, monkeypatch):
+    """Both ways, with documents of one token and none, words beyond ASCII."""
+    rng = random.Random(9)
+    pool = ["aa", "b-b", "çé", "dd", "ßß", "e_"]
+    texts = [" ".join(rng.choice([*pool, f"x{rng.randrange(40)}"]) for _ in range(rng.choice((0, 1, 2, 5, 30)))) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "aa " * 300])], "id bigint, text string").repartition(3)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = rows(themes.ngrams(docs).where("df >= 3 AND df <= 0.9 * 202"))
+    assert {r[1] for r in want} == {1, 2, 3, 4}
+    assert rows(themes.counted_ngrams(docs, 3)) == want
+    monkeypatch.setattr(themes, "SENT_ROWS", 30)
+    assert rows(themes.counted_ngrams(docs, 3)) == want
+    monkeypatch.setattr(themes, "SENT_ROWS", 0)
+    assert rows(themes.counted_ngrams(docs, 3)) == want
+    assert themes.counted_ngrams(docs.limit(0), 3).count() == 0
+
+
+def test_chunks_hold_whole_documents_and_all_of_them(monkeypatch):
+    monkeypatch.setattr(grams, "CHUNK", 5)
+    lists = [["a", "b"], ["a"] * 9, ["c"], ["a", "c"], ["b", "b"], ["a"] * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array([["z"], *lists])], names=["w"]).slice(1)
+    chunks = [(t.to_pylist(), d.tolist()) for t, d in grams._chunks(iter([batch]))]
+    assert sum((t for t, _ in chunks), []) == sum(lists, [])
+    assert [d for _, d in chunks] == [[0, 0], [0] * 9, [0, 1, 1, 2, 2], [0] * 5]
+    got = [x for b in grams._words(iter([batch])) for x in b.to_pylist() if x["w1"] == "a"]
+    assert (sum(x["total"] for x in got), sum(x["df"] for x in got)) == (16, 4)
