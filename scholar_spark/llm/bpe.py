@@ -4,7 +4,8 @@ Compilation walks the merges in rank order. The gadget of a merge ``u v -> w`` l
 an arc ``u`` enters and an arc ``v`` leaves: there the arc ``v`` is forbidden and an arc ``w`` is laid
 from the source of ``u`` to the target of ``v``. A state is thus known by the arc that entered it, and
 what a gadget forbids is kept as two short chains for each token: the arcs on its right edge and on its
-left edge, each with the rank of the merge that consumed it. Two arcs may follow one another unless a
+left edge, each with the rank of the merge that consumed it. A chain goes from an arc to the one that it was made
+from, so one link an arc holds them all. Two arcs may follow one another unless a
 merge joins an arc of the first chain to one of the second while both exist. Where the merge's own path
 is already forbidden, its gadget adds no arc.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -45,41 +47,43 @@ class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", tables: float = 1.0):
         self.most_states, self.most_pairs = int(MAX_STATES * tables), int(MAX_PAIRS * tables)
         self.end = end
-        self.rank: dict[int, int] = {}
         made = {u + v for u, v in merges}
-        #: Chains of (arc, rank of the merge that consumes it); an arc at the chain's head is never consumed.
-        never = len(merges) + 1
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        self.arcs: dict[str, int] = {}
-        for text, i in vocab.items():
-            if text not in made:
-                self.right[i] = self.left[i] = [(i, never)]
-                self.arcs[text] = i
+        #: What ends a chain; the rank at which an arc at a chain's head is consumed: never.
+        self.never = len(merges) + 1
+        most = max(vocab.values(), default=-1) + 1
+        #: Of each arc the two arcs it was made from (START: of none) and the rank of the merge that consumed them.
+        self.left, self.right, self.rank = (array("i", [START]) * most for _ in range(3))
+        self.arcs: dict[str, int] = {text: i for text, i in vocab.items() if text not in made}
         self.pair: dict[int, int] = {}
         for r, (u, v) in enumerate(merges):
             a, b, w = vocab[u], vocab[v], vocab[u + v]
             if self.arcs.get(u) == a and self.arcs.get(v) == b and self._open(a, b):
                 self.arcs[u + v] = w
-                self.right[w] = [(w, never), (b, r), *self.right[b][1:]]
-                self.left[w] = [(w, never), (a, r), *self.left[a][1:]]
+                self.left[w], self.right[w], self.rank[w] = a, b, r
             self.pair.setdefault(a << 32 | b, r)
         #: What a token may begin with, without the word-end symbol: the texts of the states.
         self.begins = {""}
         for t in self.arcs:
             body = t.removesuffix(end) if end else t
             self.begins.update(body[:i] for i in range(1, len(body) + 1))
-        self.size = {t: len(text.removesuffix(end) if end else text) for text, t in self.arcs.items()}
+        self.size = array("i", [0]) * most
+        for text, t in self.arcs.items():
+            self.size[t] = len(text.removesuffix(end) if end else text)
         self.follow: dict[int, bool] = {}
         self._clear()
 
     def _open(self, x: int, y: int) -> bool:
         """Whether arc y may follow arc x under the merges compiled so far."""
-        for a, until_a in self.right[x]:
-            for b, until_b in self.left[y]:
-                r = self.pair.get(a << 32 | b)
+        pair, left, right, rank = self.pair, self.left, self.right, self.rank
+        a, until_a = x, self.never
+        while a != START:
+            b, until_b = y, self.never
+            while b != START:
+                r = pair.get(a << 32 | b)
                 if r is not None and r < until_a and r <= until_b:
                     return False
+                b, until_b = left[b], rank[b]
+            a, until_a = right[a], rank[a]
         return True
 
     def _follows(self, x: int, y: int) -> bool:
@@ -203,7 +207,7 @@ class Codec:
         self.spaced = spec["decoder"] is None
         self.bytes = byte_alphabet()
         self.byte_of = {c: b for b, c in enumerate(self.bytes)}
-        most = int(MAX_WORDS * tables)
+        most = int(MAX_WORDS * tables**2)  # a word met again saves less than a state: small tables hold few words
         self.word_ids, self.word_count = Memo(self._word_ids, most), Memo(self._word_count, most)
         #: What stands between blanks is encoded by itself; words of one text often repeat as a whole.
         self.chunk_ids, self.chunk_count = Memo(self._chunk_ids, most), Memo(self._chunk_count, most)
@@ -226,7 +230,9 @@ class Codec:
         return self.automaton.count(self.spell(word))
 
     def _chunk_ids(self, chunk: str) -> bytes:
-        return b"".join(map(self.word_ids.__getitem__, self.split.findall(chunk)))
+        words = self.split.findall(chunk)
+        # a chunk that is one word is kept as a chunk only, not once more as a word
+        return self._word_ids(chunk) if words == [chunk] else b"".join(map(self.word_ids.__getitem__, words))
 
     def _chunk_count(self, chunk: str) -> int:
         return sum(map(self.word_count.__getitem__, self.split.findall(chunk if self.end else " " + chunk)))

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from scholar_spark.llm.bpe import Codec
 from scholar_spark.llm.tokenize import add_token_counts, count_tokens, encode_digests, encode_documents, fit_bytes, prefix_table
@@ -105,3 +106,18 @@ def test_a_full_table_is_emptied(monkeypatch):
         library, own = Tokenizer.from_file(path), Codec(path)
         for text in texts():
             assert np.frombuffer(own.encode(text or ""), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_tables_and_batches_stay_small(spark):
+    tracemalloc.start()
+    own = Codec(WORD, 1 / 3)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 36_000_000
+    own.encode(" ".join(f"word{i}" for i in range(60_000)))
+    assert len(own.chunk_ids) <= 50_000
+    assert "hello" not in own.word_ids and own.encode("hello") == own.chunk_ids["hello"] and "hello" not in own.word_ids
+    docs = spark.createDataFrame([(i, "x" * 1_000_000) for i in range(24)], "doc_id int, text string").coalesce(1)
+    encode_documents(docs, WORD)  # sets the limit
+    sizes = docs.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1).set_column(0, "doc_id", pa.array([b.nbytes], pa.int64())) for b in batches), "doc_id bigint")
+    assert max(r[0] for r in sizes.collect()) < 6_000_000
