@@ -36,7 +36,7 @@ SHARE, RUN = 0.5, 13
 PLAIN = 3
 #: Most characters of benchmark text in a block, and most items.
 BLOCK_CHARS, BLOCK_ITEMS = 8_000_000, 20_000
-MAX_CHUNKS = 300_000
+MAX_CHUNKS, SMALL = 300_000, 30_000
 
 #: Unit words; they count as units only right after a number.
 UNITS = set(
@@ -48,8 +48,11 @@ UNITS = set(
 NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:%|[a-z]{1,3})?")
 MARKS = "\"'()[]{}<>*,;.!?:“”‘’«»"
 BARE = re.compile(r"[\W_]+")
-ENDS = re.compile(r"[.!?:][\"')\]]*$").search
-WORD, NUM, OTHER = 0, 1, 2
+#: What ends a sentence, and what may stand after it; what a number may begin with besides a digit.
+ENDS, AFTER, SIGNS = set(".!?:"), "\"')]", set("+-$€£")
+#: Flags of a chunk: its kind, the lowest two bits, and whether it looks like a name, ends a sentence, is a unit word.
+WORD, NUM, OTHER, KIND = 0, 1, 2, 3
+NAMED, ENDED, UNIT = 4, 8, 16
 
 
 def _hash(s: str) -> int:
@@ -58,46 +61,79 @@ def _hash(s: str) -> int:
 
 #: Template tokens for the placeholders.
 P_NUM, P_NAME, P_UNIT = np.uint64(_hash("\0number")), np.uint64(_hash("\0name")), np.uint64(_hash("\0unit"))
+#: What stands for all words and values that no benchmark item has.
+P_NONE = _hash("\0none")
 
 
 class Chunks(dict):
-    """What stands between white space -> row of the tables below; emptied when full, between texts."""
+    """What stands between white space -> row of the tables below; emptied when full, between texts.
 
-    def __init__(self):
+    Where the ``words`` and ``values`` of a benchmark are given, what is none of them shares one row with all others of
+    its flags: no window that holds it can be one of the benchmark's, unless it fills a slot. Common lower-case words
+    of that kind are kept only while the table is small, as it is faster then. Rows of new chunks are lists until
+    ``settle`` adds them to the tables, all of a text at once.
+    """
+
+    def __init__(self, words: set[str] | None = None, values: set[str] | None = None):
+        self.words, self.values = words, values
         self.clear_all()
 
     def clear_all(self) -> None:
         self.clear()
-        self.n, size = 0, 1 << 16
-        self.hash, self.kind, self.value = np.zeros(size, np.uint64), np.zeros(size, np.uint8), np.zeros(size, np.uint64)
-        self.named, self.ends, self.unit = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, bool)
-
-    def __missing__(self, chunk: str) -> int:
-        if self.n == len(self.hash):
-            for name in ("hash", "kind", "value", "named", "ends", "unit"):
+        self.n, size = 0, 1 << 12
+        self.hash, self.value, self.flags = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.uint8)
+        self.new: list[tuple[int, int, int]] = [(P_NONE, P_NONE, WORD)]
+        self.shared = {WORD: 0}
+
+    def settle(self) -> None:
+        """Add the rows of new chunks to the tables."""
+        if not self.new:
+            return
+        last = self.n
+        self.n += len(self.new)
+        while self.n > len(self.hash):
+            for name in ("hash", "value", "flags"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        i = self[chunk] = self.n
-        self.n += 1
+        self.hash[last : self.n], self.value[last : self.n], self.flags[last : self.n] = zip(*self.new)
+        self.new = []
+
+    def __missing__(self, chunk: str) -> int:
+        """The row of a new chunk."""
+        words = self.words
+        if words is not None and chunk.islower() and chunk.isalpha() and chunk.isascii() and chunk not in words:
+            if len(self) < SMALL:
+                self[chunk] = 0
+            return 0
         plain = chunk.strip(MARKS).lower()
-        bare = BARE.sub("", plain)
-        self.value[i] = _hash(plain)
-        self.ends[i] = ENDS(chunk) is not None
-        if NUMBER.fullmatch(plain):
-            self.kind[i], self.hash[i] = NUM, P_NUM
+        bare = plain if plain.isalnum() else BARE.sub("", plain)
+        flags, known = OTHER, words is None or plain in self.values
+        if (plain[:1] in SIGNS or plain[:1].isdecimal()) and NUMBER.fullmatch(plain):
+            flags = NUM
         elif bare:
-            self.kind[i], self.hash[i] = WORD, _hash(bare)
-            letters = BARE.sub("", chunk)
-            self.named[i] = len(letters) > 1 and letters[0].isupper() and letters[1:].islower()
-            self.unit[i] = bare in UNITS
-        else:
-            self.kind[i] = OTHER
+            flags, known = WORD, known or bare in words
+            if not chunk.islower():
+                letters = chunk if chunk.isalnum() else BARE.sub("", chunk)
+                if len(letters) > 1 and letters[0].isupper() and letters[1:].islower():
+                    flags |= NAMED
+            if bare in UNITS:
+                flags |= UNIT
+        if not chunk[-1].isalnum() and chunk.rstrip(AFTER)[-1:] in ENDS:
+            flags |= ENDED
+        i = None if known else self.shared.get(flags)
+        if i is None:
+            i = self.n + len(self.new)
+            own, value = (_hash(bare), _hash(plain)) if known else (P_NONE, P_NONE)
+            self.new.append((int(P_NUM) if flags & KIND == NUM else own, value, flags))
+            if not known:
+                self.shared[flags] = i
+        self[chunk] = i
         return i
 
 
 def template(text: str, chunks: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
     """(template tokens, kind of slot or 0, place of each token among the chunks, chunks, tokens as they stand) of a whole text."""
-    if chunks.n > MAX_CHUNKS:
+    if len(chunks) > MAX_CHUNKS:
         chunks.clear_all()
     own, first = [], []
     for line in text.split("\n"):
@@ -106,13 +142,15 @@ def template(text: str, chunks: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndar
     if not own:
         return np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int64), own, np.empty(0, np.uint64)
     ids = np.fromiter(map(chunks.__getitem__, own), np.int64, len(own))
-    tokens, kind = chunks.hash[ids], chunks.kind[ids]
-    starts = np.r_[True, chunks.ends[ids][:-1]]
+    chunks.settle()
+    tokens, flags = chunks.hash[ids], chunks.flags[ids]
+    kind = flags & KIND
+    starts = np.r_[True, flags[:-1] & ENDED > 0]
     starts[np.array(first)[np.array(first) < len(own)]] = True
     slot = np.zeros(len(ids), np.int8)
     slot[kind == NUM] = 1
-    slot[chunks.named[ids] & ~starts] = 2
-    slot[chunks.unit[ids] & np.r_[False, kind[:-1] == NUM]] = 3
+    slot[(flags & NAMED > 0) & ~starts] = 2
+    slot[(flags & UNIT > 0) & np.r_[False, kind[:-1] == NUM]] = 3
     tokens[slot == 2], tokens[slot == 3] = P_NAME, P_UNIT
     at = np.flatnonzero(kind != OTHER)
     return tokens[at], slot[at], at, own, np.where(slot > 0, chunks.value[ids], tokens)[at]
@@ -166,18 +204,21 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], window: int):
         self.window = window
         chunks, self.items, by = Chunks(), [], defaultdict(list)
+        self.values: set[str] = set()
         for item, text in items:
             tokens, slot, at, own, verbatim = template(text or "", chunks)
             if not len(tokens):
                 continue
+            self.values.update(map(_value, own))
             n = min(window, len(tokens))
             hashes, plain = seed_hashes(tokens, slot, verbatim, n)
             for place, h in enumerate(hashes.tolist()):
                 if plain[place] or n == window:
                     by[n].append((h, len(self.items), place))
-            if plain[0] and chunks.named[chunks[own[at[0]]]]:  # an item quoted inside a sentence begins with what looks like a name
+            if plain[0] and chunks.flags[chunks[own[at[0]]]] & NAMED:  # an item quoted inside a sentence begins with what looks like a name
                 by[n].append((int(window_hashes(np.r_[P_NAME, tokens[1:n]], n)[0]), len(self.items), 0))
             self.items.append((item, len(tokens), slot, [_value(own[i]) for i in at.tolist()]))
+        self.words = {BARE.sub("", value) for value in self.values} | UNITS
         self.by = {}
         for n, rows in by.items():
             rows.sort()
@@ -246,7 +287,8 @@ def find_leaks(
         sent = spark.sparkContext.broadcast(sorted(block, key=str))
 
         def make(sent=sent):
-            index, chunks = Index(sent.value, window), Chunks()
+            index = Index(sent.value, window)
+            chunks = Chunks(index.words, index.values)
             return lambda row: ((row[key], *hit) for hit in index.hits(row["text"] or "", chunks, share, run, strict))
 
         found = arrow_map(docs.select(key, "text"), make, schema)

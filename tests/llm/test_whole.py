@@ -92,3 +92,25 @@ def test_slot_consistency_equals_trying_all_mappings():
         assert loose and max(h[1] for h in loose) <= want
         seen.add(want == n)
     assert seen == {True, False}
+
+
+def test_words_that_no_item_has_share_rows():
+    """Hits are those of a table with a row for every word, names, numbers, units and marks included."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    kinds = [word, lambda: word().title(), lambda: str(rng.randrange(900)), lambda: "km", lambda: word() + ".", lambda: "é" + word(), lambda: "--", lambda: f"({word()}:)"]
+    some = lambda n: [rng.choice(kinds[: 1 + rng.randrange(8)])() for _ in range(n)]
+    items = [(i, " ".join(some(n))) for i, n in enumerate((3, 6, 8, 12, 20, 40) * 10)]
+    index = decontaminate.Index(items, 8)
+    every, few = decontaminate.Chunks(), decontaminate.Chunks(index.words, index.values)
+    found = 0
+    for _ in range(400):
+        own = rng.choice(items)[1].split()
+        for k in rng.sample(range(len(own)), len(own) // 8):
+            own[k] = rng.choice(kinds)()
+        text = " ".join(some(60) + own + some(60))
+        for strict in (True, False):
+            want = sorted(index.hits(text, every, 0.5, 13, strict))
+            assert sorted(index.hits(text, few, 0.5, 13, strict)) == want
+            found += len(want)
+    assert found > 100 and every.n > 5 * few.n
