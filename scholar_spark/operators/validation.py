@@ -157,28 +157,27 @@ def null_graphs(edges: DataFrame, iterations: int = ITERATIONS, seed: int = SEED
     return stubs(edges, iterations, seed).where("src <> dst").distinct().withColumn("weight", F.lit(1))
 
 
-def null_agreement(edges: DataFrame, iterations: int = ITERATIONS, folds: int = FOLDS, seed: int = SEED) -> DataFrame:
-    """(g, nmi): the mean agreement of folds in each random graph; graphs with fewer than two partitions have none."""
-    random = Stored(fold_graphs(null_graphs(edges, iterations, seed), folds, seed), "random")
-    found = shared_communities(communities.partitions(random.df))
-    return fold_agreement(found, folds).groupBy("g").agg(F.avg("nmi").alias("nmi"))
-
-
 def validate_communities(edges: DataFrame, iterations: int = ITERATIONS, folds: int = FOLDS, seed: int = SEED) -> dict[str, DataFrame]:
     """Tables about the communities of one network (src, dst, weight).
 
     consensus (node, cluster; clusters of one left out); agreement (kind, i, j, nmi) of folds with each other and
-    with the consensus; null (g, nmi) of random graphs of the same degrees; report (one row): means and standard
-    deviations of both, of the random graphs, p (share of those that agree as well) and z.
+    with the consensus; null (g, nmi) of random graphs of the same degrees, those with fewer than two partitions left out;
+    report (one row): means and standard deviations of both, of the random graphs, p (share of those that agree as well)
+    and z. The network, as graph 0, and the random graphs go through the same rounds of the community search.
     """
     edges = Stored(edges, "network").df
-    own = edges.select(F.lit(0).cast("long").alias("g"), "src", "dst", "weight")
-    found = Stored(shared_communities(communities.partitions(Stored(fold_graphs(own, folds, seed), "folds").df)), "found").df
-    clusters = Stored(consensus(found, folds), "consensus").df
-    folds_nmi = fold_agreement(found, folds).select(F.lit("folds").alias("kind"), "i", "j", "nmi")
-    agreed = consensus_agreement(found, clusters, folds).select(F.lit("consensus").alias("kind"), F.col("f").alias("i"), F.lit(None).cast("int").alias("j"), "nmi")
+    graphs = edges.select(F.lit(0).cast("long").alias("g"), "src", "dst", "weight")
+    random = null_graphs(edges, iterations, seed).select((F.col("g") + 1).cast("long").alias("g"), "src", "dst", F.col("weight").cast(edges.schema["weight"].dataType).alias("weight"))
+    parts = Stored(fold_graphs(graphs.unionByName(random), folds, seed), "folds")
+    found = Stored(shared_communities(communities.partitions(parts.df)), "found").df
+    parts.drop()
+    own, others = found.where(F.col("g") < folds), found.where(F.col("g") >= folds)
+    clusters = Stored(consensus(own, folds), "consensus").df
+    folds_nmi = fold_agreement(own, folds).select(F.lit("folds").alias("kind"), "i", "j", "nmi")
+    agreed = consensus_agreement(own, clusters, folds).select(F.lit("consensus").alias("kind"), F.col("f").alias("i"), F.lit(None).cast("int").alias("j"), "nmi")
     agreement = Stored(folds_nmi.unionByName(agreed), "agreement").df
-    null = Stored(null_agreement(edges, iterations, folds, seed), "null").df
+    null = fold_agreement(others, folds).groupBy("g").agg(F.avg("nmi").alias("nmi"))
+    null = Stored(null.select((F.col("g") - 1).alias("g"), "nmi"), "null").df
     return {"consensus": clusters.drop("g"), "agreement": agreement, "null": null, "report": validation_report(agreement, null)}
 
 
